@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, simhash
+from tidemark.llm import decontaminate, quality, secrets, sharding, simhash
 from tidemark.llm.common import documents
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir), "doc_id", "text")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), "doc_id", "text", "source")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir), "doc_id", "text", "source", count=8)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir), "doc_id", "text", shingle=4, radius=4)
 
@@ -18,8 +30,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_secrets, op5_quality, op6_sharding, op8_simhash, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE}
+    return {"op5_quality": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
