@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, quality, secrets, sharding, simhash
+from tidemark.llm import decontaminate, packing, quality, secrets, sharding, simhash, token_counts
 from tidemark.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir), "doc_id", "text", "source", count=8)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), "doc_id", "text", window=4096, end=2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir), "doc_id", "text", shingle=4, radius=4)
 
@@ -29,8 +33,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), "doc_id", "text", benchmark, "item_id", "text", size=10).drop("items")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), "doc_id", "text", limit=1024)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secrets, op5_quality, op6_sharding, op8_simhash, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_secrets, op5_quality, op6_sharding, op7_packing, op8_simhash, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
