@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, packing, quality, secrets, sharding, simhash, token_counts
-from tidemark.llm.common import documents
+from tidemark.llm import decontaminate, language, packing, quality, secrets, sharding, simhash, token_counts
+from tidemark.llm.common import documents, fold
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, "doc_id", "text", "lang", held_out=fold(F.col("doc_id"), 4) == 2)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secrets, op5_quality, op6_sharding, op7_packing, op8_simhash, op9_decontaminate, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language, op2_secrets, op5_quality, op6_sharding, op7_packing, op8_simhash, op9_decontaminate, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
