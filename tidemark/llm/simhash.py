@@ -26,7 +26,6 @@ BITS, SEED = 64, 42
 BLOCK = 4096
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 PAIRS = 1 << 15  # machine words of counters worked on at once
-FIRST = 12  # planes before the first look at what to abandon
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
@@ -47,12 +46,35 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str = "fp", shingle: int = 4) -> DataFrame:
-    """The table's columns but the text, and a long whose 64 bits are the fingerprint."""
+def wide_fingerprint(text: bytes | None, shingle: int, words: int) -> bytes:
+    """A fingerprint of 64 ``words`` bits over the distinct shingles, each word from its own mix of the shingle's hash."""
+    import xxhash
+
+    w = (text or b"").lower().split()
+    if not w:
+        return bytes(8 * words)
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    found = {join(w)} if len(w) <= shingle else set(map(join, zip(*(w[i:] for i in range(shingle)), strict=False)))
+    h = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        m = h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+        m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        m ^= m >> np.uint64(31)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(m), 1 << 16):
+            ones += np.unpackbits(m[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(m), bitorder="little").view(np.uint64)[0]
+    return out.tobytes()
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str = "fp", shingle: int = 4, words: int = 1) -> DataFrame:
+    """The table's columns but the text, and the fingerprint: a long of 64 bits, or binary if it is of more words than one."""
     import pyarrow as pa
 
     keep = [c for c in df.columns if c != text]
-    schema = df.select(*keep).withColumn(out, F.lit(0).cast("long")).schema
+    schema = df.select(*keep).withColumn(out, F.lit(0).cast("long") if words == 1 else F.lit(b"").cast("binary")).schema
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
@@ -61,33 +83,37 @@ def with_fingerprint(df: DataFrame, text: str, out: str = "fp", shingle: int = 4
             for t in column_bytes(b, text):
                 fp = memory.get(t)
                 if fp is None:
-                    fp = memory[t] = fingerprint(t, shingle)
+                    fp = memory[t] = fingerprint(t, shingle) if words == 1 else wide_fingerprint(t, shingle, words)
                 found.append(fp)
-            fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
+            fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64()) if words == 1 else pa.array(found, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [fps], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes, 64 x words: bit j of word i of plane k is bit k of fingerprint 64 i + j. The tail repeats the last one."""
+    """Bit planes, bits x words, of rows of machine words: bit j of word i of plane k is bit k of row 64 i + j. The tail repeats the last row."""
     n = -(-len(fps) // 64) * 64
-    full = np.concatenate([fps, np.repeat(fps[-1:], n - len(fps))]) if n > len(fps) else fps
-    bits = np.unpackbits(full.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # rows x 64
+    full = np.concatenate([fps, np.repeat(fps[-1:], n - len(fps), axis=0)]) if n > len(fps) else fps
+    bits = np.unpackbits(np.ascontiguousarray(full).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")  # rows x bits
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def near(planes: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of ``fps``, the positions in ``planes`` within the radius.
+    """For each row of ``fps``, the positions in ``planes`` within the radius.
 
     A machine word of a plane holds that bit of 64 fingerprints, so one operation updates 64
     distances; differing bits of three planes go through a carry-save adder into a vertical counter
     that overflows above the radius. Words in which all 64 have overflowed are abandoned."""
+    bits, words = planes.shape
     levels = max(2, int(radius).bit_length())
     start = (1 << levels) - 1 - radius  # the top level overflows at radius + 1
-    words = planes.shape[1]
+    # half of the bits of unlike fingerprints differ: a first look pays when nearly all have overflowed
+    first = min(bits, -(-max(12, 9 * radius // 4) // 3) * 3)
+    stride = max(6, bits // 24 * 3)
     order = np.argsort(np.abs(planes_balance(planes)), kind="stable")  # the most even planes tell most apart
-    flips = np.where((fps[:, None] >> order.astype(np.uint64)) & np.uint64(1), FULL, np.uint64(0)).T  # 64 x fingerprints
+    own = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, order]
+    flips = np.where(own.T.astype(bool), FULL, np.uint64(0))  # bits x rows
     planes = planes[order]
     step = max(1, PAIRS // max(words, 1))
     for at in range(0, len(fps), step):
@@ -96,16 +122,15 @@ def near(planes: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[int
             shape = (flip.shape[1], block.shape[1])
             counter = [np.full(shape, FULL if start >> k & 1 else 0, np.uint64) for k in range(levels)]
             over = np.zeros(shape, np.uint64)
-            for k in range(0, FIRST, 3):
-                over |= counted(counter, *(block[k + j][None, :] ^ flip[k + j][:, None] for j in range(3)))
+            for k in range(0, first, 3):
+                over |= counted(counter, *(block[k + j][None, :] ^ flip[k + j][:, None] if k + j < bits else np.zeros(shape, np.uint64) for j in range(3)))
             q, w = np.nonzero(over != FULL)
             over, counter = over[q, w], [c[q, w] for c in counter]
-            for k in range(FIRST, BITS, 3):
+            for k in range(first, bits, 3):
                 if not len(q):
                     break
-                bits = [block[k + j][w] ^ flip[k + j][q] if k + j < BITS else np.zeros(len(q), np.uint64) for j in range(3)]
-                over |= counted(counter, *bits)
-                if k % 6 == 0:
+                over |= counted(counter, *(block[k + j][w] ^ flip[k + j][q] if k + j < bits else np.zeros(len(q), np.uint64) for j in range(3)))
+                if (k - first) % stride == 0:
                     left = over != FULL
                     q, w, over, counter = q[left], w[left], over[left], [c[left] for c in counter]
             if len(q):
@@ -169,7 +194,7 @@ class Forest:
 
 
 def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as values) of a forest that joins what lies within the radius: inside ``left``, or between left and right."""
+    """Links (as rows) of a forest that joins what lies within the radius: inside ``left``, or between left and right."""
     if right is None:
         trees, planes = Forest(len(left)), planes_of(left)
         for i, found in near(planes, left, radius):
@@ -197,17 +222,13 @@ def bands_for(count: int, radius: int, most: int = 2048) -> tuple[int, int]:
     return radius + 4, 4
 
 
-def links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Of distinct fingerprints (column ``fp``), links ``a``, ``b`` that connect all that lie within the radius of each other."""
-    bands, agree = bands_for(fps.count(), radius)
-    cuts = [BITS * i // bands for i in range(bands + 1)]
-    masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(bands)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [signed(sum(masks[i] for i in some)) for some in combinations(range(bands), agree)]
-    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in keys])).alias("choice", "bucket"))
+def linked(dealt: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links ``a``, ``b`` that connect what lies within the radius in a bucket. ``dealt``: choice, bucket, fp (distinct in a bucket).
+
+    A bucket above one block is dealt into blocks by a hash, and each pair of blocks is one group."""
     dealt = written(dealt, "buckets")
+    wide = dict(dealt.dtypes)["fp"] == "binary"
     sizes = dealt.groupBy("choice", "bucket").count().where("count > 1")
-    # a bucket above one block is dealt into blocks by a hash; each pair of blocks is one group
     spread = sizes.withColumn("blocks", F.ceil(F.col("count") / F.lit(block)).cast("int")).drop("count")
     rows = dealt.join(spread, ["choice", "bucket"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) as lo, greatest(own, x) as hi))")
@@ -216,12 +237,62 @@ def links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     def compare(table):
         import pyarrow as pa
 
-        fp = table.column("fp").to_numpy().view(np.uint64)
+        column = table.column("fp")
+        fp = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if wide else column.to_numpy().view(np.uint64)[:, None]
+        fp = fp[np.lexsort(fp.T[::-1])]
         own, lo, hi = table.column("own").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        a, b = forest_of(np.sort(fp), None, radius) if lo == hi else forest_of(np.sort(fp[own == lo]), np.sort(fp[own == hi]), radius) if (own == lo).any() and (own == hi).any() else (fp[:0], fp[:0])
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        if lo == hi:
+            a, b = forest_of(fp, None, radius)
+        else:
+            raw = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if wide else column.to_numpy().view(np.uint64)[:, None]
+            left, right = raw[own == lo], raw[own == hi]
+            a, b = forest_of(left, right, radius) if len(left) and len(right) else (raw[:0], raw[:0])
+        if wide:
+            return pa.table({"a": pa.array([x.tobytes() for x in a], pa.binary()), "b": pa.array([x.tobytes() for x in b], pa.binary())})
+        return pa.table({"a": pa.array(a[:, 0].view(np.int64)), "b": pa.array(b[:, 0].view(np.int64))})
 
-    return rows.groupBy("choice", "bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+    kind = "binary" if wide else "long"
+    return rows.groupBy("choice", "bucket", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def links(fps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Of distinct 64-bit fingerprints (column ``fp``), links that connect all that lie within the radius of each other."""
+    bands, agree = bands_for(fps.count(), radius)
+    cuts = [BITS * i // bands for i in range(bands + 1)]
+    masks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(bands)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [signed(sum(masks[i] for i in some)) for some in combinations(range(bands), agree)]
+    return linked(fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in keys])).alias("choice", "bucket")), radius, block)
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits in which two sets of that Jaccard similarity (and like size) are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.005, block: int = BLOCK) -> DataFrame:
+    """Of distinct wide fingerprints, links between those whose sets look ``similarity`` alike or more.
+
+    The radius is the expected distance at that similarity and two standard deviations. Buckets are keys of a few bits,
+    as many of them as leave a pair at the threshold unmet with probability ``miss`` or, if bits run out, a little more."""
+    bits, share = 64 * words, differing_share(similarity)
+    radius = int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+    length = min(14, max(1, int(np.log2(max(fps.count(), 2))) - 9))
+    tables = min(bits // length, int(np.ceil(np.log(miss) / np.log(1 - (1 - share) ** length))))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        weights = 1 << np.arange(length)
+        for b in batches:
+            raw = b.column(0).to_pylist()
+            some = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
+            for k in range(tables):
+                # bits of a key lie a table's number of places apart
+                key = some[:, k : k + tables * length : tables].astype(np.int64) @ weights
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(key), b.column(0)], names=["choice", "bucket", "fp"])
+
+    return linked(fps.select("fp").mapInArrow(run, "choice int, bucket long, fp binary"), radius, block)
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -239,18 +310,21 @@ def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: i
     return rows.join(named.select("fp", "root"), "fp").join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """One row of each near-duplicate class: that with the smallest (id, text hash). All columns stay.
+def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
+    """One row of each near-duplicate class: that with the smallest (id, row hash). All columns stay.
 
-    Rows alike in id and text are one document and one of them stays. Null ids sort last."""
+    Classes are the components of links between texts whose sets of ``shingle`` words look ``similarity`` alike or more, by
+    wide fingerprints: 64 bits can't tell 0.8 from less. Rows alike throughout are one document and one
+    of them stays. Null ids sort last. Null and empty texts are copies of each other."""
     table = Carried(docs)
     i, t = table.at(doc_id), table.at(text)
-    rows = written(with_fingerprint(table.frame.withColumn("_t", F.coalesce(t, F.lit(""))), "_t", "_fp", shingle), "fingerprints")
-    rank = F.struct(F.col(i).isNull().alias("n"), F.col(i).alias("i"), F.xxhash64(*[f"_c{k}" for k in range(len(table.names))]).alias("h"))
-    least = written(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(rank).alias("least")), "distinct-fingerprints")
-    roots = components(links(least.select("fp"), radius))
+    same = F.xxhash64(*[f"_c{k}" for k in range(len(table.names))])
+    plain = table.frame.select(F.col(i).alias("i"), same.alias("h"), F.coalesce(t, F.lit("")).alias("_t"))
+    rows = written(with_fingerprint(plain, "_t", "fp", shingle, words), "fingerprints")
+    rank = F.struct(F.col("i").isNull().alias("n"), "i", "h")
+    least = written(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct-fingerprints")
+    roots = components(wide_links(least.select("fp"), similarity, words))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    same = F.xxhash64(*[f"_c{k}" for k in range(len(table.names))])
-    chosen = rows.withColumn("_h", same).join(kept.select(F.col("i").alias("_ki"), F.col("h").alias("_kh")), (F.col("_h") == F.col("_kh")) & F.col(i).eqNullSafe(F.col("_ki")))
+    chosen = table.frame.withColumn("_h", same).join(kept.select(F.col("i").alias("_ki"), F.col("h").alias("_kh")), (F.col("_h") == F.col("_kh")) & F.col(i).eqNullSafe(F.col("_ki")))
     return table.back(chosen.dropDuplicates(["_h"]))
