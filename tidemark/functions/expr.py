@@ -25,7 +25,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance; the root is clamped so that rounding never leaves asin's domain."""
     a, b = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     inner = a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(inner)))
+    # not least(): that would take 1 where a coordinate is null
+    return F.lit(2 * EARTH_KM) * F.asin(F.when(inner > 1, F.lit(1.0)).otherwise(F.sqrt(inner)))
 
 
 def nearest_multiple(x: Column, step: float) -> Column:

@@ -248,17 +248,20 @@ class Autoencoder:
         out = [z]
         for i, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
             z = z @ w + b
-            out.append(np.tanh(z) if i < len(self.w) - 1 else z)
+            if i < len(self.w) - 1:
+                z = np.tanh(z)
+            out.append(z)
         return out
 
-    def fit(self, data: np.ndarray, rounds: int = 300, batch: int = 200, rate: float = 3e-3, seed: int = 0) -> Autoencoder:
+    def fit(self, data: np.ndarray, rounds: int = 300, batch: int = 200, rate: float = 1e-2, seed: int = 0) -> Autoencoder:
         self.mean, self.scale = data.mean(0), np.where(data.std(0) > 0, data.std(0), 1.0)
         z = (data - self.mean) / self.scale
         rng = np.random.default_rng(seed)
         params = self.w + self.b
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(rounds):
+        for turn in range(rounds):
             order = rng.permutation(len(z))
+            step = rate * (1 - turn / rounds)  # steps shrink to nothing, or late ones undo what early ones found
             for at in range(0, len(z), batch):
                 x = z[order[at : at + batch]]
                 layers = self._forward(x)
@@ -273,7 +276,7 @@ class Autoencoder:
                 for p, g, a, b in zip(params, gw + gb, m, v, strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
-                    p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+                    p -= step * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
         return self
 
     def feature_errors(self, data: np.ndarray) -> np.ndarray:

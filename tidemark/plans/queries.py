@@ -29,7 +29,8 @@ E = """WITH e AS (SELECT epoch(ts) AS t, strftime(ts, '%Y-%m-%d') AS date, event
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return f"(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+    inner = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"(2 * 6371.0 * asin(sqrt(CASE WHEN {inner} > 1 THEN 1 ELSE {inner} END)))"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
