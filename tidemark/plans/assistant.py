@@ -26,7 +26,7 @@ CUES = (
     ("actors", r"\bcrew\b|\bwho (?:is|are)\b|\bnotify\b|\bactors?\b"),
     ("correction", r"\bactually\b|\bthat'?s wrong\b|\bcorrection\b"),
     ("voyage", r"\bvoyages?\b|\btrips?\b|\blegs?\b"),
-    ("efficiency", r"\bper (?:km|kilomet\w+|nautical mile|nm|hour|mile)\b|\befficien\w+"),
+    ("efficiency", r"\bper (?:\d+ ?)?(?:km|kilomet\w+|nautical mile|nm|hour|mile)\b|\befficien\w+"),
     ("nearby", r"\bnear(?:by)?\b|\bclose to\b|\baround (?:us|me)\b|\bships? around\b"),
     ("between", r"\bdistance (?:between|from)\b"),
     ("distance", r"\bhow far\b|\bdistance\b|\btravel\w*"),
@@ -45,7 +45,10 @@ CUES = (
 )
 OUTSIDE = ("film", "movie", "recipe", "weather forecast", "joke", "poem", "stock", "crypto", "song", "sport", "president", "translate")
 MODES = {"general": "general", "simple": "general", "analyst": "analyst", "data": "analyst", "expert": "expert", "engineer": "expert"}
-AGGS = (("median", "median"), ("max", "max"), ("min", "min"), ("total", "sum"), ("sum", "sum"), ("latest", "latest"), ("deviation", "stddev"), ("count", "count"), ("integra", "integral"))
+AGGS = (
+    (r"\bavg\b|\baverage\b|\bmean\b", "avg"), (r"\bmedian\b", "median"), (r"\bmax(?:imum)?\b", "max"), (r"\bmin(?:imum)?\b", "min"), (r"\btotal\b|\bsum\b", "sum"), (r"\blatest\b", "latest"),
+    (r"\bdeviation\b", "stddev"), (r"\bcount\b|\bhow many\b", "count"), (r"\bintegra(?:l|ted)\b", "integral"),
+)
 
 
 class Clarify(Exception):
@@ -180,7 +183,7 @@ class Assistant:
         source, signal = self.signal_in(message)
         fields = self.knowledge.fields(source)
         agg, unit = semantics.resolve_aggregation(signal, fields)
-        agg = next((a for cue, a in AGGS if cue in message.lower()), agg)
+        agg = next((a for cue, a in AGGS if re.search(cue, message.lower())), agg)
         if agg == "sum" and fields.get(signal, {}).get("aggregation") == "integral":
             agg = "integral"
         if agg == "latest":
@@ -337,7 +340,7 @@ class Assistant:
     def answer_watches(self, message: str) -> str:
         if m := re.search(r"\b(above|over|below|under)\s+(-?\d+(?:\.\d+)?)", message.lower()):
             source, signal = self.signal_in(message)
-            w = self.watches.add(source, "threshold", {"signal": signal, "aggregation": next((a for c, a in AGGS if c in message.lower()), "avg"), "op": ">" if m[1] in ("above", "over") else "<", "value": float(m[2])}, description=message)
+            w = self.watches.add(source, "threshold", {"signal": signal, "aggregation": next((a for c, a in AGGS if re.search(c, message.lower()) and a != "latest"), "avg"), "op": ">" if m[1] in ("above", "over") else "<", "value": float(m[2])}, description=message)
             return f"Watching {signal} on {source} ({w['id']})."
         if re.search(r"anomal|drift", message.lower()):
             return f"Watching {self.source} for drift ({self.watches.add(self.source, 'anomaly', {}, description=message)['id']})."

@@ -24,8 +24,8 @@ ORACLES: dict[str, str] = {}
 #: Moments of January 2024 that the queries ask about.
 T0, T1, AT = 1704758400.0, 1705622400.0, 1705320000.0
 E = """WITH e AS (SELECT epoch(ts) AS t, strftime(ts, '%Y-%m-%d') AS date, event_type AS source, user_id AS entity, event_id, value,
- CASE WHEN event_id % 7 = 0 THEN 'U' || user_id END AS name, 57 + ((event_id // 50) % 20) * 0.05 AS lat, CAST(-4 AS DOUBLE) AS lon,
- 57 + (event_id * 37 % 1000) / 1000.0 AS olat, -4 + (event_id * 91 % 1000) / 1000.0 AS olon FROM events)"""
+ CASE WHEN event_id % 7 = 0 THEN 'U' || user_id END AS name, 57e0 + ((event_id // 50) % 20) * 5e-2 AS lat, -4e0 AS lon,
+ 57e0 + (event_id * 37 % 1000) / 1e3 AS olat, -4e0 + (event_id * 91 % 1000) / 1e3 AS olon FROM events)"""
 
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
@@ -239,8 +239,8 @@ def voyage_window(spark, d):
 _SEG = f"""{E}, {_HOPS}, c AS (SELECT t, hop, sum(hop) OVER (ORDER BY t, lat, lon ROWS UNBOUNDED PRECEDING) AS cum FROM h),
 k AS (SELECT t, unnest(generate_series(CAST(floor((cum - hop) / 50 + 1e-9) AS BIGINT) + 1, CAST(floor(cum / 50 + 1e-9) AS BIGINT))) AS segment FROM c),
 b AS (SELECT segment, min(t) AS t_end FROM k GROUP BY segment), w AS (SELECT min(t) AS t0, max(t) AS t1, max(cum) AS km FROM c),
-a AS (SELECT segment, t_end, segment * 50.0 AS km_end FROM b UNION ALL SELECT CAST(floor(km / 50) AS BIGINT) + 1, t1, km FROM w WHERE km - floor(km / 50) * 50 > 1e-6),
-segs AS (SELECT a.segment, round((a.segment - 1) * 50.0, 3) AS km_start, round(km_end, 3) AS km_end, coalesce(b.t_end, t0) AS t_start, a.t_end FROM a LEFT JOIN b ON b.segment = a.segment - 1, w)"""
+a AS (SELECT segment, t_end, segment * 5e1 AS km_end FROM b UNION ALL SELECT CAST(floor(km / 50) AS BIGINT) + 1, t1, km FROM w WHERE km - floor(km / 50) * 50 > 1e-6),
+segs AS (SELECT a.segment, round((a.segment - 1) * 5e1, 3) AS km_start, round(km_end, 3) AS km_end, coalesce(b.t_end, t0) AS t_start, a.t_end FROM a LEFT JOIN b ON b.segment = a.segment - 1, w)"""
 
 
 @query(f"{_SEG} SELECT segment, km_start, km_end, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM segs")
