@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Carried, column_bytes, column_list, pick
+from tidemark.llm.common import Carried, column_bytes, column_list, pick, written
 
 SIZE = 10
 PART_WINDOWS = 1_000_000
@@ -91,20 +91,21 @@ class HashSet:
         return out
 
 
-def parts_of(benchmark: DataFrame, item_id: str, text: str, size: int, most: int) -> list[list[tuple[str, bytes]]]:
+def parts_of(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in parts of at most ``most`` words (an item is never split), so that each part's set has a proven bound.
 
     Rows stream to the driver one partition at a time; only one part and its set are held there at once."""
-    parts, held, n = [], [], 0
+    held, n = [], 0
     for row in pick(benchmark, item_id, text).toDF("i", "t").where("t is not null").select(F.col("i").cast("string"), F.col("t").cast("binary")).toLocalIterator():
         if not (w := words_of(bytes(row[1]))):
             continue
         if held and n + len(w) > most:
-            parts.append(held)
+            yield held
             held, n = [], 0
         held.append(("" if row[0] is None else row[0], b" ".join(w)))
         n += len(w)
-    return [*parts, held] if held else parts
+    if held:
+        yield held
 
 
 def scan(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, out: str, size: int = SIZE, most: int = PART_WINDOWS) -> DataFrame:
@@ -112,7 +113,9 @@ def scan(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_te
     spark = docs.sparkSession
     docs = docs.withColumn(out, F.expr(f"cast(array() as {HITS})"))
     at, kind = docs.columns.index(out), docs.schema
-    for part in parts_of(benchmark, item_id, item_text, size, most):
+    for turn, part in enumerate(parts_of(benchmark, item_id, item_text, most)):
+        if turn:  # passes run one after the other, or all parts would be in memory at once
+            docs = written(docs, "scanned")
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator, sent=sent) -> Iterator:
