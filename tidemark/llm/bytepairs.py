@@ -280,7 +280,7 @@ class WordEncoder:
     each step applying to each word its best-ranked pair. Stretches beyond printable Latin-1, long ones
     and those with special strings go through the library."""
 
-    LONG = 48
+    LONG, MOST = 48, 400_000
 
     def __init__(self, path: str):
         import regex
@@ -304,13 +304,19 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if _ODD(t)]  # white space to Python that the tokenizer keeps
-        parts = [t.split() for t in texts]
         kept = self.kept
-        if len(kept) > MOST_KEPT:
+        if len(kept) > self.MOST:
             kept.clear()
+        if len(self.words) > self.MOST // 2:
             self.words.clear()
-        self.learn({u for u in set().union(*parts) if u not in kept})
-        out = [b"".join(map(kept.__getitem__, p)) for p in parts]
+        parts = [t.split() for t in texts]
+        found = [list(map(kept.get, p)) for p in parts]
+        new: set[str] = set()
+        for p, f in zip(parts, found, strict=True):
+            if None in f:
+                new.update(w for w, x in zip(p, f, strict=True) if x is None)
+        self.learn(new)
+        out = [b"".join([kept[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
         for i, ids in zip(odd, self.by_library([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
@@ -319,14 +325,22 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
-        plain = [p for p in parts if _PLAIN(p) and "<|" not in p and len(p) <= self.LONG]
-        odd = [p for p in parts if not (_PLAIN(p) and "<|" not in p and len(p) <= self.LONG)]
-        self.kept.update(zip(odd, self.by_library(odd), strict=True))
-        cut = [self.split(p.lower()) for p in plain]
+        odd, cut = [], {}
+        for p in parts:
+            if not _PLAIN(p) or "<|" in p or len(p) > self.LONG:
+                odd.append(p)
+            elif p.isalpha():
+                cut[p] = [p.lower()]
+            elif p[-1] in ".,;:!?" and p[:-1].isalpha():
+                cut[p] = [p[:-1].lower(), p[-1]]
+            else:
+                cut[p] = self.split(p.lower())
+        if odd:
+            self.kept.update(zip(odd, self.by_library(odd), strict=True))
         words = self.words
-        new = list({w for c in cut for w in c if w not in words})
+        new = list({w for c in cut.values() for w in c if w not in words})
         words.update(zip(new, self.merge(new), strict=True))
-        for p, c in zip(plain, cut, strict=True):
+        for p, c in cut.items():
             self.kept[p] = words[c[0]] if len(c) == 1 else b"".join(map(words.__getitem__, c))
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
