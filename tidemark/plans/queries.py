@@ -539,3 +539,104 @@ def session_spans(spark, d):
     from tidemark.streaming.windows import sessions
 
     return sessions(events(spark, d), "t", 1800, ["source"]).select("source", r6("t_start", 3).alias("t_start"), r6("t_end", 3).alias("t_end"), "n")
+
+
+# --- sampling, cleaning, names, keys
+
+@query(f"""{E}, c AS (SELECT greatest(1, count(*) // 500) AS step FROM e), r AS (SELECT t, value, row_number() OVER (ORDER BY t) AS p FROM e)
+SELECT round(t, 6) AS t, round(value, 6) AS value FROM r, c WHERE (p - 1) % step = 0""")
+def decimated_series(spark, d):
+    from tidemark.plans.report import time_series
+
+    # thinning is the operator: every n-th reading of the whole series
+    return time_series(events(spark, d), "value", "t", 500).select(r6("t").alias("t"), r6("value").alias("value"))
+
+
+@query("""SELECT count(*) FILTER (WHERE l_orderkey % 3 <> 0) AS n, round(avg(l_quantity) FILTER (WHERE l_orderkey % 3 <> 0), 6) AS mean, 'l_discount,l_quantity' AS kept FROM lineitem""")
+def clean_frame(spark, d):
+    df = spark.read.parquet(f"{d}/lineitem.parquet")
+    third = F.col("l_orderkey") % 3
+    df = df.select(F.when(third != 0, F.col("l_quantity")).alias("l_quantity"), "l_discount", F.when(third == 0, F.col("l_tax")).alias("mostly_null"), F.lit(1.0).alias("flat"))
+    kept, clean = A.clean_columns(df, df.columns)
+    return clean.agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("mean"), F.lit(",".join(sorted(kept))).alias("kept"))
+
+
+@query(f"""{E}, n AS (SELECT entity, name, CASE WHEN t <= {AT} THEN {AT} - t ELSE t - {AT} + 1e12 END AS o FROM e WHERE length(trim(name)) > 0)
+SELECT entity AS id, arg_min(name, o) AS name FROM n GROUP BY entity""")
+def names_at(spark, d):
+    return J.names_at(others(events(spark, d)), "id", "name", AT, "t").select("id", "name")
+
+
+@query("SELECT event_id, substr(sha1(CAST(event_id AS VARCHAR)), 1, 8) AS short_id, CASE WHEN event_type < 'purchase' THEN event_type || '::purchase' ELSE 'purchase::' || event_type END AS edge FROM events")
+def keys(spark, d):
+    return events(spark, d).select("event_id", expr.short_id(F.col("event_id").cast("string")).alias("short_id"), expr.edge_key(F.col("source"), F.lit("purchase")).alias("edge"))
+
+
+@query(f"""{E}, l AS (SELECT t, olat, olon FROM e WHERE source = 'click'), r AS (SELECT t AS rt, sqrt(value * value + pow(event_id % 10, 2)) AS v FROM e WHERE source = 'purchase'),
+j AS (SELECT * FROM l ASOF LEFT JOIN r ON l.t >= r.rt)
+SELECT round(round(olat / 0.25) * 0.25, 4) AS lat_cell, round(round(olon / 0.25) * 0.25, 4) AS lon_cell, round(avg(v), 6) AS mean, count(*) AS n FROM j WHERE rt IS NOT NULL AND t - rt <= 900 GROUP BY 1, 2""")
+def magnitude_by_location(spark, d):
+    ev = events(spark, d)
+    position = ev.where("source = 'click'").select("t", F.col("olat").alias("lat"), F.col("olon").alias("lon"))
+    x = S.signal_by_location(position, ev.where("source = 'purchase'"), ["value", "event_id % 10"], 0.25, 900, "t")
+    return x.select(r6("lat_cell", 4).alias("lat_cell"), r6("lon_cell", 4).alias("lon_cell"), r6("mean").alias("mean"), "n")
+
+
+@query(f"{E}, {_L}, r AS (SELECT t, label, lag(label) OVER (ORDER BY t, label) AS p FROM l) SELECT round(t, 6) AS t, label FROM r WHERE p IS NULL OR p <> label")
+def regime_runs(spark, d):
+    return N.runs(labels(events(spark, d))).select(r6("t").alias("t"), "label")
+
+
+@query(f"{E} SELECT source, CAST(floor(t / 3600) * 3600 AS BIGINT) AS t_start, round(avg(value), 6) AS mean, count(value) AS n FROM e GROUP BY 1, 2")
+def hourly_windows(spark, d):
+    from tidemark.streaming.windows import trend
+
+    return trend(events(spark, d), "t", "value", 3600, ["source"]).select("source", "t_start", r6("mean").alias("mean"), "n")
+
+
+@query(f"{E}, g AS (SELECT source, CAST(round(t * (1.0 / 3600)) AS BIGINT) AS tg, arg_min(value, (t, value)) AS value FROM e GROUP BY ALL) SELECT tg, round(value, 6) AS value FROM g WHERE source = 'click'")
+def first_per_tick(spark, d):
+    x = J.first_per_tick(events(spark, d).where("source = 'click'"), ["value"], 1.0 / 3600, "t")
+    return x.select("tg", r6("value").alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 49 AND l_discount < 0.02")
+def threshold_rows(spark, d):
+    df = spark.read.parquet(f"{d}/lineitem.parquet")
+    return df.where(expr.compare(F.col("l_quantity"), ">=", 49) & expr.compare(F.col("l_discount"), "<", 0.02)).select("l_orderkey", "l_linenumber")
+
+
+@query()
+def joint_envelope(spark, d):
+    df = D.assign_labels(spark.read.parquet(f"{d}/lineitem.parquet").withColumn("t", F.monotonically_increasing_id().cast("double")), CENTRES)
+    return N.detect_joint(df, N.build_envelopes(df, LINE, "t")).select("label", "n", "flagged", "fraction")
+
+
+@query()
+def baseline_against_itself(spark, d):
+    df = events(spark, d).select(F.col("t").alias("timestamp"), "date", "value", "olat", "olon")
+    base = N.build_baseline(df, ["value", "olat", "olon"])
+    found = N.detect_drift(df, base) if base else {"structure": [], "regimes": [], "transitions": [], "rows": 0}
+    rows = [(k, len(found[k])) for k in ("structure", "regimes", "transitions")] + [("rows", found["rows"])]
+    return spark.createDataFrame(rows, "finding string, n long")
+
+
+@query()
+def period_drift(spark, d):
+    df = events(spark, d).select("date", "value", "olat", "olon")
+    model = D.segment_regimes(df, ["value", "olat", "olon"])
+    found = N.multiscale_drift(N.daily_fingerprints(df, ["value", "olat", "olon"], model))
+    return spark.createDataFrame(list(zip(found["periods"][1:], map(float, found["steps"]), map(float, found["cumulative"]), strict=True)), "period string, step double, cumulative double")
+
+
+@query()
+def fused_dependence(spark, d):
+    ev = events(spark, d)
+    parts = {s: ev.where(F.col("source") == s).select(F.col("t").alias("timestamp"), "value", "olat") for s in ("click", "purchase")}
+    return D.fused_graph(J.fuse(parts, 1.0 / 3600))["edges"].select("a", "b", "pearson", "dcor", "kind", "cross")
+
+
+@query()
+def autoencoder_flags(spark, d):
+    df = D.assign_labels(spark.read.parquet(f"{d}/lineitem.parquet").select(*LINE), CENTRES)
+    return N.autoencoder_errors(df, LINE, N.train_autoencoders(df, LINE, most=1000)).groupBy("label").agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"))
