@@ -318,13 +318,15 @@ def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, simila
     of them stays. Null ids sort last. Null and empty texts are copies of each other."""
     table = Carried(docs)
     i, t = table.at(doc_id), table.at(text)
-    same = F.xxhash64(*[f"_c{k}" for k in range(len(table.names))])
-    plain = table.frame.select(F.col(i).alias("i"), same.alias("h"), F.coalesce(t, F.lit("")).alias("_t"))
+    row = [f"_c{k}" for k in range(len(table.names))]
+    h, g = F.xxhash64(*row).alias("h"), F.xxhash64(F.lit(7), *row).alias("g")  # 128 bits stand for a row
+    plain = table.frame.select(F.col(i).alias("i"), h, g, F.coalesce(t, F.lit("")).alias("_t"))
     rows = written(with_fingerprint(plain, "_t", "fp", shingle, words), "fingerprints")
-    rank = F.struct(F.col("i").isNull().alias("n"), "i", "h")
+    rank = F.struct(F.col("i").isNull().alias("n"), "i", "h", "g")
     least = written(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct-fingerprints")
     roots = components(wide_links(least.select("fp"), similarity, words))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    chosen = table.frame.withColumn("_h", same).join(kept.select(F.col("i").alias("_ki"), F.col("h").alias("_kh")), (F.col("_h") == F.col("_kh")) & F.col(i).eqNullSafe(F.col("_ki")))
-    return table.back(chosen.dropDuplicates(["_h"]))
+    # the join and the choice among repeated rows go by the same keys: texts are shuffled once
+    chosen = table.frame.withColumn("_h", h).withColumn("_g", g).join(kept.select(F.col("h").alias("_h"), F.col("g").alias("_g")), ["_h", "_g"], "left_semi")
+    return table.back(chosen.dropDuplicates(["_h", "_g"]))
