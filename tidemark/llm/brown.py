@@ -1,10 +1,9 @@
 """Class-based n-gram scores: P(w | before) = P(class(w) | class(before)) P(w | class(w)).
 
-Frequent words are assigned to classes by exchange clustering: in each round the class neighbours of every such word
-are counted over the whole training corpus, then each word in turn moves to the class that raises the
-likelihood of the class bigrams most. All other words, seen or not, belong to classes by their
+Frequent words are assigned to classes by exchange clustering: each word in turn moves to the class that raises the
+likelihood of the class bigrams most, until none moves. All other words, seen or not, belong to classes by their
 ending. Word counts, class counts and transitions are over all training documents; only the list of words that exchange
-moves has a bound (``CLUSTERED``), which makes the model's class table one of known size. Counts of all other words,
+moves has a bound (``CLUSTERED``), which makes the model, and the pair counts it is made from, of known size. Counts of all other words,
 however many, are looked up by joins, block by block, and never broadcast."""
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import column_bytes, column_list, pick, written
 
-CLASSES, ENDINGS, CLUSTERED, ROUNDS = 48, 15, 8000, 3
+CLASSES, ENDINGS, CLUSTERED, ROUNDS = 48, 15, 2000, 20
 ADD, ADD_CLASS = 0.1, 0.1
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 24_000_000
@@ -78,57 +77,68 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(entropy(pairs).sum() - entropy(pairs.sum(axis=1)).sum() - entropy(pairs.sum(axis=0)).sum())
 
 
-def exchange(state: Classes, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """New classes by code, each frequent word in turn moved to its best class.
+def class_pairs(state: Classes, pairs: np.ndarray) -> np.ndarray:
+    """Class bigram counts of code bigram counts."""
+    rows = np.zeros((state.total, pairs.shape[1]))
+    np.add.at(rows, state.of_code, pairs)
+    out = np.zeros((state.total, state.total))
+    np.add.at(out.T, state.of_code, rows.T)
+    return out
 
-    ``before`` and ``after`` count, per code, the classes of the neighbours on either side. Sums of class pairs follow
-    every move; neighbours' own moves in the same round show in the next round's counts."""
-    of = state.of_code.copy()
-    pairs = np.zeros((state.total, state.total))
-    np.add.at(pairs, of, after)  # pairs[class(w), class of the next]
+
+def exchange(state: Classes, pairs: np.ndarray) -> int:
+    """One round: each frequent word in turn moves to its best class, all others as they then are. Returns how many moved.
+
+    ``pairs`` has the counts of code bigrams. Gains are exact, so the likelihood never falls."""
+    of, k, moved = state.of_code, state.classes, 0
+    table = class_pairs(state, pairs)
+    each = np.arange(k)
     for w in np.argsort(-state.counts, kind="stable").tolist():
-        a = of[w]
-        out, into = after[w].astype(np.float64), before[w].astype(np.float64)
-        if not out.any() and not into.any():
-            continue
-        pairs[a, :] -= out
-        pairs[:, a] -= into
-        np.maximum(pairs, 0, out=pairs)
-        k = state.classes
-        rows, columns = pairs[:k], pairs[:, :k].T
-        gain = (entropy(rows + out) - entropy(rows)).sum(axis=1) + (entropy(columns + into) - entropy(columns)).sum(axis=1)
-        left, right = rows.sum(axis=1), columns.sum(axis=1)
-        gain -= entropy(left + out.sum()) - entropy(left) + entropy(right + into.sum()) - entropy(right)
+        a, own = of[w], float(pairs[w, w])
+        out = np.bincount(of, pairs[w], state.total)
+        into = np.bincount(of, pairs[:, w], state.total)
+        table[a, :] -= out
+        table[:, a] -= into
+        table[a, a] += own
+        out[a] -= own
+        into[a] -= own
+        rows, columns, corner = table[:k], table[:, :k].T, table[each, each]
+        f = entropy
+        gain = (f(rows + out) - f(rows)).sum(axis=1) + (f(columns + into) - f(columns)).sum(axis=1)
+        gain += f(corner + out[:k] + into[:k] + own) + f(corner) - f(corner + out[:k]) - f(corner + into[:k])
+        left, right = rows.sum(axis=1) + into[:k], columns.sum(axis=1) + out[:k]
+        gain -= f(left + out.sum() + own) - f(left) + f(right + into.sum() + own) - f(right)
         best = int(gain.argmax())
         if gain[best] <= gain[a] + 1e-9:
             best = a
+        moved += best != a
         of[w] = best
-        pairs[best, :] += out
-        pairs[:, best] += into
-    return of
+        table[best, :] += out
+        table[:, best] += into
+        table[best, best] += own
+    return moved
 
 
-def neighbours(docs: DataFrame, text: str, state: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Per code, how often each class comes before and after it, over all the documents given.
+def code_pairs(docs: DataFrame, text: str, state: Classes) -> np.ndarray:
+    """How often each code follows each other one, over all the documents given; a document starts after an end.
 
-    Each task sums its own counts into numbers (side, code, class); these are summed by key, at most
-    2 x codes x classes of them, which is the model's size."""
-    codes, classes = len(state.of_code), state.total
-    sent = docs.sparkSession.sparkContext.broadcast((state.moved, state.endings, state.of_code))
+    Each task sums its own counts and hands on those that aren't zero; these are summed by key, at most codes x codes of
+    them, which is the model's size and not the corpus's."""
+    codes = len(state.of_code)
+    sent = docs.sparkSession.sparkContext.broadcast((state.moved, state.endings))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        moved, endings, of_code = sent.value
+        moved, endings = sent.value
         table, end = Codes(moved, endings), len(moved) + endings
-        sums = np.zeros(2 * codes * classes, np.int64)
+        sums = np.zeros(codes * codes, np.int64)
         held: list[int] = [end]
 
         def add():
             c = np.array(held, np.int64)
-            k = of_code[c]
-            sums[: codes * classes] += np.bincount(c[1:] * classes + k[:-1], minlength=codes * classes)
-            sums[codes * classes :] += np.bincount(c[:-1] * classes + k[1:], minlength=codes * classes)
+            keys, n = np.unique(c[:-1] * codes + c[1:], return_counts=True)
+            sums[keys] += n
             held[:] = [end]
 
         for b in batches:
@@ -144,11 +154,10 @@ def neighbours(docs: DataFrame, text: str, state: Classes) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["key", "n"])
 
     found = docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(2 * codes * classes, np.int64)
+    sums = np.zeros(codes * codes)
     sums[found.column("key").to_numpy()] = found.column("n").to_numpy()
     sent.unpersist()
-    before, after = sums.reshape(2, codes, classes)
-    return before, after
+    return sums.reshape(codes, codes)
 
 
 def blocked(plain: DataFrame) -> DataFrame:
@@ -236,18 +245,11 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     least, words = frequent(vocabulary, clustered)
     state = Classes([w for w, _ in words], [c for _, c in words], classes)
     training = plain.where(~F.col("held_out")).select("text")
-    best = None
-    for turn in range(rounds + 1):
-        before, after = neighbours(training, "text", state)
-        pairs = np.zeros((state.total, state.total))
-        np.add.at(pairs, state.of_code, after)
-        now = likelihood(pairs)
-        if best is None or now > best[0]:
-            best = (now, state.of_code, pairs)
-        if turn == rounds or now < best[0]:
+    counts = code_pairs(training, "text", state)
+    for _ in range(rounds):
+        if not exchange(state, counts):
             break
-        state.of_code = exchange(state, before, after)
-    _, state.of_code, pairs = best
+    pairs = class_pairs(state, counts)
     transitions = np.log10((pairs + ADD_CLASS) / (pairs.sum(axis=1, keepdims=True) + ADD_CLASS * state.total))
     # how many words and tokens each class has
     size, kinds = np.zeros(state.total), np.zeros(state.total)
