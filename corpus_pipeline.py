@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, packing, pii, quality, simhash
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, short_batches, written
 
 #: The surrogates' key; a real run sets its own.
 PII_KEY = os.environ.get("TIDEMARK_PII_KEY", "tidemark-surrogates")
@@ -25,10 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return simhash.keep_first(docs, "doc_id", "text", shingle=5, similarity=0.8)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, "text", benchmark, "item_id", "text", size=10)
 
@@ -38,6 +40,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack(docs, "doc_id", "text", window=4096, end=2)
 
 

@@ -27,7 +27,6 @@ class Merges:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spec = spec
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -280,13 +279,12 @@ class WordEncoder:
     each step applying to each word its best-ranked pair. Stretches beyond printable Latin-1, long ones
     and those with special strings go through the library."""
 
-    LONG, MOST = 48, 400_000
+    LONG, MOST = 48, 300_000
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.library = path, None  # the library is loaded when a stretch needs it
         self.merges = m = Merges(path)
         char = {b: c for c, b in alphabet().items()}
         self.inner = np.array([m.vocab.get(char[b], -1) for b in range(256)], np.int64)
@@ -322,19 +320,28 @@ class WordEncoder:
         return out
 
     def by_library(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, parts: set[str]) -> None:
-        odd, cut = [], {}
+        odd, cut, longest = [], {}, self.LONG
         for p in parts:
-            if not _PLAIN(p) or "<|" in p or len(p) > self.LONG:
-                odd.append(p)
-            elif p.isalpha():
-                cut[p] = [p.lower()]
-            elif p[-1] in ".,;:!?" and p[:-1].isalpha():
-                cut[p] = [p[:-1].lower(), p[-1]]
+            if p.isascii() and len(p) <= longest:
+                if p.isalpha():
+                    cut[p] = (p.lower(),)
+                    continue
+                if p[-1] in ".,;:!?" and p[:-1].isalpha():
+                    cut[p] = (p[:-1].lower(), p[-1])
+                    continue
+            if len(p) <= longest and _PLAIN(p) and "<|" not in p:
+                cut[p] = (p.lower(),) if p.isalpha() else self.split(p.lower())
             else:
-                cut[p] = self.split(p.lower())
+                odd.append(p)
         if odd:
             self.kept.update(zip(odd, self.by_library(odd), strict=True))
         words = self.words

@@ -22,7 +22,7 @@ from tidemark.llm.common import column_list, pick
 WINDOW, END = 4096, 2
 SENTENCE, HARD = 4, 64
 #: Tokens that are cut into windows together, and bytes of text that a task packs.
-RUN_TOKENS, TASK_BYTES = 8_000_000, 16_000_000
+RUN_TOKENS, TASK_BYTES = 2_000_000, 16_000_000
 
 
 def default_path() -> str:
@@ -48,15 +48,17 @@ def cuts(ends: np.ndarray, sentences: np.ndarray, window: int = WINDOW, sentence
     total = int(ends[-1]) if len(ends) else 0
     if not total:
         return np.zeros(1, np.int64)
-    places = np.union1d(np.union1d(ends, sentences), [0, total])
-    places = places[(places >= 0) & (places <= total)]
+    price = np.full(total + 1, np.inf, np.float32)  # of a cut at each place; places without one are no boundaries
+    price[sentences[(sentences >= 0) & (sentences <= total)]] = sentence
+    price[ends] = 0
+    price[0] = 0
+    places = np.nonzero(price < np.inf)[0]
     gaps = np.nonzero(np.diff(places) > window)[0]
+    for g in gaps.tolist():
+        price[places[g] + 1 : places[g + 1]] = hard
     if len(gaps):
-        places = np.union1d(places, np.concatenate([np.arange(places[g] + 1, places[g + 1]) for g in gaps]))
-    cost = np.full(len(places), float(hard))
-    cost[np.isin(places, sentences)] = sentence
-    cost[np.isin(places, ends)] = 0
-    cost[0] = 0
+        places = np.nonzero(price < np.inf)[0]
+    cost = price[places]
     place, cost = places.tolist(), cost.tolist()
     best, back = [0.0] * len(place), [0] * len(place)
     queue: deque = deque([(0.0, 0)])  # (best + place, index), values rising
@@ -82,8 +84,9 @@ def pieces(ids: list[np.ndarray], ends_sentence: np.ndarray, window: int = WINDO
     ends = np.cumsum([len(x) for x in ids])
     every = np.concatenate(ids)
     where = cuts(ends, np.nonzero(ends_sentence[every])[0] + 1, window)
-    marks = np.union1d(where, ends)
-    marks = marks[marks > 0]
+    mark = np.zeros(len(every) + 1, bool)
+    mark[where] = mark[ends] = True
+    marks = np.nonzero(mark[1:])[0] + 1
     starts = np.concatenate([[0], marks[:-1]])
     raw = every.astype("<u4").tobytes()
     for a, b, w, d in zip(starts.tolist(), marks.tolist(), (np.searchsorted(where, starts, "right") - 1).tolist(), np.searchsorted(ends, starts, "right").tolist(), strict=True):
