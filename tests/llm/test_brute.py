@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import brown, bytepairs, decontaminate, language, packing, pii, quality, registry, secrets, sharding, simhash, token_counts
-from tidemark.llm.common import fold
+from tidemark.llm.common import fold, written
 from tidemark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -469,3 +469,26 @@ def test_prefix_table_answers(spark):
 def test_fold_is_crc32_of_the_id(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in got)
+
+
+def test_brown_exchange_covers_words_below_the_first(spark):
+    rng = random.Random(3)
+    kinds = [[f"{c}{i}xx" for i in range(40)] for c in "pq"]  # one ending; what stands before tells them apart
+    texts = [" ".join(x for _ in range(10) for f, some in [rng.choice(list(zip("ab", kinds)))] for x in (f, rng.choice([some[0], rng.choice(some)]))) for _ in range(300)]
+    docs = brown.blocked(spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean"))
+    table = written(brown.block_counts(docs), "block-words")
+    vocabulary = table.groupBy("word").agg(F.sum("n").alias("c"))
+    words_ = brown.frequent(vocabulary, 4)
+    assert {w for w, _ in words_} == {b"a", b"b", b"p0xx", b"q0xx"}
+    state = brown.Classes([w for w, _ in words_], [c for _, c in words_], 4)
+    classed, pairs = brown.exchanged_tail(docs, table, vocabulary, state)
+    of = {r["word"]: r["k"] for r in classed.collect()}
+    by = [collections.Counter(of[w] for w in some if w in of) for some in kinds]
+    assert not set(by[0]) & set(by[1]), by  # one class for all before
+    start, counts = brown.exchanged_tail(docs, table, vocabulary, state, rounds=0)
+    assert len({r["k"] for r in start.where("not first").collect()}) == 1 and brown.likelihood(pairs) > brown.likelihood(counts)
+    want = collections.Counter()
+    for t in texts:
+        k = [of[w] for w in ["", *t.split(), ""]]
+        want.update(zip(k, k[1:]))
+    assert {(a, b): pairs[a, b] for a, b in zip(*np.nonzero(pairs))} == want

@@ -1,10 +1,11 @@
 """Class-based n-gram scores: P(w | before) = P(class(w) | class(before)) P(w | class(w)).
 
-Frequent words are assigned to classes by exchange clustering: each word in turn moves to the class that raises the
-likelihood of the class bigrams most, until none moves. All other words, seen or not, belong to classes by their
-ending. Word counts, class counts and transitions are over all training documents; only the list of words that exchange
-moves has a bound (``CLUSTERED``), which makes the model, and the pair counts it is made from, of known size. Counts of all other words,
-however many, are looked up by joins, block by block, and never broadcast."""
+Classes are found by exchange, for every word of the training documents. The ``CLUSTERED`` most frequent words come first and
+one at a time: each moves to the class that raises the likelihood of the class bigrams most, until none moves. All other
+training words start in the class of their ending and move in rounds, all at once: each by the counts of its neighbours' classes
+over all training documents, to the best of all classes; a round that lowers the likelihood is undone. Words that
+only held-out documents have belong to the class that most training words of their ending are in. Nothing that grows with the
+vocabulary is broadcast or collected: counts and classes of words are looked up by joins, block by block."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import column_bytes, column_list, pick, written
 
 CLASSES, ENDINGS, CLUSTERED, ROUNDS = 48, 15, 2000, 20
+#: Rounds, at most, in which all words below the first ones move.
+TAIL_ROUNDS = 2
 ADD, ADD_CLASS = 0.1, 0.1
 #: Bytes of text whose words are looked up together.
 BLOCK_BYTES = 24_000_000
@@ -30,7 +33,7 @@ def tokens_of(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes, endings: int = ENDINGS) -> int:
-    """The class of a word that exchange does not move: by its last two characters."""
+    """The class in which a word that is not among the most frequent starts: by its last two characters."""
     return zlib.crc32(word.decode()[-2:].encode()) % endings
 
 
@@ -213,20 +216,116 @@ def block_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, word string, n long")
 
 
-def frequent(vocabulary: DataFrame, most: int) -> tuple[int, list[tuple[bytes, int]]]:
-    """A count, and the at most ``most`` words that have it or more with theirs: found by a histogram, not by a sort."""
-    step = 16
-    bins = vocabulary.where("word <> '' and c > 1").groupBy(F.floor(F.log2("c") * step).cast("int").alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
-    room, least = most, None
-    for r in sorted(bins, key=lambda r: -r["b"]):
-        room -= r["n"]
-        if room < 0:
-            break
-        least = r["least"]
-    if least is None:
-        return 1 << 62, []
-    words = vocabulary.where((F.col("word") != "") & (F.col("c") >= least)).collect()
-    return least, sorted(((r["word"].encode(), r["c"]) for r in words), key=lambda x: (-x[1], x[0]))
+def frequent(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words of the highest counts with theirs, the first by bytes of equal counts; a word must occur twice. Bounded."""
+    found = vocabulary.where("word <> '' and c > 1").orderBy(F.desc("c"), "word").limit(most).collect()
+    return sorted(((r["word"].encode(), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
+def neighbours(rows: DataFrame, known: DataFrame, total: int, words: bool = True) -> DataFrame:
+    """Per block and word that is not ``first``: ``keys`` and ``ns``, how often which class stands behind it (key: the class) and
+    before it (key: ``total`` and the class). The word '' has the counts of class bigrams (key: left * ``total`` + right)
+    of the whole block. ``rows``: block, text. ``known``: block, word, k, first."""
+
+    def run(left, right):
+        import pyarrow as pa
+
+        names = right.column("word").cast(pa.binary()).to_pylist()
+        at = {w: i for i, w in enumerate(names)}
+        k, tail = right.column("k").to_numpy().astype(np.int64), ~right.column("first").to_numpy(zero_copy_only=False)
+        end = at.get(END, -1)
+        sums, some = np.zeros(total * total, np.int64), []
+        held: list[int] = [end]
+
+        def add():
+            c = np.array(held, np.int64)
+            held[:] = [end]
+            a, b = c[:-1], c[1:]
+            sums[:] += np.bincount(k[a] * total + k[b], minlength=total * total)
+            if words:
+                keys = np.concatenate([a[tail[a]] * (2 * total) + k[b[tail[a]]], b[tail[b]] * (2 * total) + total + k[a[tail[b]]]])
+                some.append(np.unique(keys, return_counts=True))
+
+        for t in left.column("text").cast(pa.binary()).to_pylist():
+            held += map(at.__getitem__, tokens_of(t))
+            held.append(end)
+            if len(held) > 1_000_000:
+                add()
+        add()
+        there = np.nonzero(sums)[0]
+        lists = [(pa.array([""]), np.array([0, len(there)]), there, sums[there])]
+        if words:
+            keys, where = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
+            ns = np.bincount(where, np.concatenate([n for _, n in some]), len(keys)).astype(np.int64)
+            ids, starts = np.unique(keys // (2 * total), return_index=True)
+            lists.append((right.column("word").combine_chunks().take(pa.array(ids)), np.append(starts, len(keys)), keys % (2 * total), ns))
+        array = lambda cuts, x: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32()))
+        return pa.concat_tables([pa.table({"word": w.cast(pa.string()), "keys": array(cuts, x), "ns": array(cuts, n)}) for w, cuts, x, n in lists])
+
+    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "word string, keys array<int>, ns array<int>")
+
+
+def best_classes(row: np.ndarray, key: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The best class of each word, by class bigram counts as they are now; ``of``: the words' present classes.
+
+    ``row``, ``key``, ``n``: the words' counts of neighbours, with keys as by ``neighbours``. A word leaves its class for a gain above
+    log(classes), the cost of stating its class: without that, words seen once or twice fit the training documents alone.
+    The last class, the end's, takes no words."""
+    total, words = len(pairs), len(of)
+    cells, where = np.unique(row * (2 * total) + key, return_inverse=True)
+    n = np.bincount(where, n, len(cells))
+    row, key = cells // (2 * total), cells % (2 * total)
+    f, both = entropy, np.concatenate([pairs.T, pairs])  # by key: a count for each class
+    combos, one = np.unique(np.stack([key, n.astype(np.int64)]), axis=1, return_inverse=True)
+    one = one.reshape(-1)
+    up = f(both[combos[0]] + combos[1][:, None]) - f(both[combos[0]])
+    gain = np.zeros((words, total))
+    starts = np.nonzero(np.diff(row, prepend=-1))[0]
+    gain[row[starts]] = np.add.reduceat(up[one], starts, axis=0)
+    # a word's own class: what it has now against what would be left
+    mine = both[key, of[row]]
+    stay = np.bincount(row, f(mine) - f(np.maximum(mine - n, 0)), words)
+    behind = key < total
+    own = np.arange(words)
+    for counts, sums in ((np.bincount(row[behind], n[behind], words), pairs.sum(axis=1)), (np.bincount(row[~behind], n[~behind], words), pairs.sum(axis=0))):
+        gain -= f(sums[None, :] + counts[:, None]) - f(sums)[None, :]
+        stay -= f(sums[of]) - f(np.maximum(sums[of] - counts, 0))
+    # all words would pick the same empty class at once, and be no wiser
+    gain[:, (pairs.sum(axis=1) + pairs.sum(axis=0)) == 0] = -np.inf
+    gain[:, -1] = -np.inf
+    gain[own, of] = stay
+    best = gain.argmax(axis=1)
+    return np.where(gain[own, best] > stay + np.log(total), best, of)
+
+
+def moved_words(classed: DataFrame, found: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """The words with their best classes, by the counts of their neighbours' classes."""
+    sent = classed.sparkSession.sparkContext.broadcast(pairs)
+    counts = found.where("word <> ''").groupBy("word").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("ns")).alias("ns"))
+    joined = classed.join(counts, "word", "left").select("word", "c", "first", "k", "keys", "ns")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            k = b.column(3).to_numpy().astype(np.int64)
+            keys, ns = b.column(4), b.column(5)
+            row = pc.list_parent_indices(keys).to_numpy().astype(np.int64)
+            if len(row):
+                k = best_classes(row, keys.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(np.float64), k, sent.value)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(k, pa.int32())], names=["word", "c", "first", "k"])
+
+    return joined.mapInArrow(run, "word string, c long, first boolean, k int")
+
+
+def class_table(found: DataFrame, total: int) -> np.ndarray:
+    """The class bigram counts that ``neighbours`` found."""
+    sums = np.zeros(total * total)
+    pairs = found.where("word = ''").select(F.explode(F.arrays_zip("keys", "ns")).alias("x")).groupBy("x.keys").agg(F.sum("x.ns"))
+    for key, n in pairs.collect():  # classes squared at most
+        sums[key] = n
+    return sums.reshape(total, total)
 
 
 def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: int = CLASSES, clustered: int = CLUSTERED, rounds: int = ROUNDS) -> DataFrame:
@@ -242,29 +341,72 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     vocabulary = written(table.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     sums = vocabulary.where("c > 0").agg(F.sum("c"), F.count("*")).first()
     n, v = int(sums[0] or 0), int(sums[1])
-    least, words = frequent(vocabulary, clustered)
+    words = frequent(vocabulary, clustered)
     state = Classes([w for w, _ in words], [c for _, c in words], classes)
     training = plain.where(~F.col("held_out")).select("text")
     counts = code_pairs(training, "text", state)
     for _ in range(rounds):
         if not exchange(state, counts):
             break
-    pairs = class_pairs(state, counts)
+    classed, pairs = exchanged_tail(rows, table, vocabulary, state)
     transitions = np.log10((pairs + ADD_CLASS) / (pairs.sum(axis=1, keepdims=True) + ADD_CLASS * state.total))
     # how many words and tokens each class has
     size, kinds = np.zeros(state.total), np.zeros(state.total)
-    np.add.at(size, state.of_code[: len(words)], state.counts)
-    np.add.at(kinds, state.of_code[: len(words)], 1)
-    last = F.crc32(F.substring("word", -2, 2).cast("binary")) % F.lit(state.endings)
-    for r in vocabulary.where((F.col("word") != "") & (F.col("c") > 0) & (F.col("c") < F.lit(least))).groupBy(last.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        size[state.classes + r["k"]], kinds[state.classes + r["k"]] = r["c"], r["n"]
-    ends = vocabulary.where("word = ''").agg(F.sum("c")).first()[0] or 0
-    size[-1], kinds[-1] = ends, 1 if ends else 0
-    sent = docs.sparkSession.sparkContext.broadcast((state.moved, state.endings, state.of_code, transitions, np.log10(size + ADD * (kinds + 1))))
-    known = table.select("block", "word").join(vocabulary, "word").select("block", "word", "c")
+    for r in classed.where("c > 0").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        size[r["k"]], kinds[r["k"]] = r["c"], r["n"]
+    sent = docs.sparkSession.sparkContext.broadcast((transitions, np.log10(size + ADD * (kinds + 1)), state.total - 1))
+    # words that are new belong where most training words of their ending are
+    most: dict = {}
+    for r in classed.where("c > 0 and not first and word <> ''").groupBy(last_class(state).alias("e"), "k").count().collect():
+        most[r["e"]] = max(most.get(r["e"], (0, 0)), (r["count"], -r["k"]))
+    new = F.array(*[F.lit(-most[e][1] if e in most else e) for e in range(classes, state.total - 1)])
+    placed = classed.withColumn("k", F.when((F.col("c") > 0) | (F.col("word") == ""), F.col("k")).otherwise(F.get(new, last_class(state) - classes)))
+    known = table.select("block", "word").join(placed, "word").select("block", "word", "c", "k")
     return _scored(rows, known, sent, n, v)
 
 
+def last_class(state: Classes) -> Column:
+    return (F.crc32(F.substring("word", -2, 2).cast("binary")) % F.lit(state.endings) + F.lit(state.classes)).cast("int")
+
+
+def exchanged_tail(rows: DataFrame, table: DataFrame, vocabulary: DataFrame, state: Classes, rounds: int = TAIL_ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    """All words (word, c, first, k) with their classes, and the counts of class bigrams. The first words keep those exchange gave them."""
+    spark, total = rows.sparkSession, state.total
+    first = spark.createDataFrame([(w.decode(), int(k)) for w, k in zip(state.moved, state.of_code, strict=False)], "word string, _k int")
+    start = F.when(F.col("word") == "", F.lit(total - 1)).otherwise(F.coalesce("_k", last_class(state)))
+    classed = vocabulary.join(F.broadcast(first), "word", "left").select("word", "c", (F.col("_k").isNotNull() | (F.col("word") == "")).alias("first"), start.alias("k"))
+    classed = written(classed, "classes")
+    training, there = rows.where(~F.col("held_out")).select("block", "text"), table.where("n > 0 or word = ''").select("block", "word")
+    kept = None
+    for turn in range(rounds + 1):
+        known = there.join(classed.select("word", "k", "first"), "word").select("block", "word", "k", "first")
+        found = written(neighbours(training, known, total, turn < rounds), "neighbours")
+        pairs = class_table(found, total)
+        if kept is not None and likelihood(pairs) < likelihood(kept[1]):
+            return kept
+        if kept is not None:
+            forget(kept[0])
+        kept = classed, pairs
+        swept(spark)
+        if turn < rounds:
+            classed = written(moved_words(classed, found, pairs), "classes")
+        forget(found)
+        swept(spark)
+    return kept
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def swept(spark) -> None:
+    """Lets Spark's cleaner drop the shuffles of what is written by now: a pass over the texts is as much as the input."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _scored(rows: DataFrame, known: DataFrame, sent, n: int, v: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = float(np.log10(n + ADD * (v + 1)))
@@ -272,14 +414,13 @@ def _scored(rows: DataFrame, known: DataFrame, sent, n: int, v: int) -> DataFram
     def score(left, right):
         import pyarrow as pa
 
-        moved, endings, of_code, transitions, weight = sent.value
-        codes, end = Codes(moved, endings), len(moved) + endings
-        counts = dict(zip(right.column("word").cast(pa.binary()).to_pylist(), right.column("c").to_pylist(), strict=True))
+        transitions, weight, end = sent.value
+        at = {w: i for i, w in enumerate(right.column("word").cast(pa.binary()).to_pylist())}
+        count, of = right.column("c").to_numpy().astype(np.float64), right.column("k").to_numpy().astype(np.int64)
         out: list[list] = [[], [], [], []]
         for t in left.column("text").cast(pa.binary()).to_pylist():
-            words = tokens_of(t)
-            c = np.array([*map(counts.__getitem__, words), counts[END]], np.float64)  # a word that isn't there would be a lost row
-            k = of_code[[end, *codes.of(words), end]]
+            words = np.array([*map(at.__getitem__, tokens_of(t)), at[END]], np.int64)  # a word that isn't there would be a lost row
+            c, k = count[words], np.append(end, of[words])
             own = np.log10(c + ADD)
             out[0].append(len(c))
             out[1].append(int((c > 0).sum()))
