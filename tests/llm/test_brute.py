@@ -415,6 +415,32 @@ def test_near_duplicates_at_similarity(spark):
     assert sorted(kept) == [10 * g for g in range(12)]
 
 
+def test_near_duplicates_by_exact_similarity(spark):
+    rng, rows, alike_ = random.Random(5), [], {}
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other = list(base)
+        for i in rng.sample(range(0, 400, 5), 9 if g % 2 else 12):  # each change takes five shingles
+            other[i] = f"n{rng.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(396)} for x in (base, other))
+        alike_[g] = len(a & b) / len(a | b)
+    assert min(alike_.values()) < 0.76 and max(alike_.values()) > 0.78
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert {g for g in alike_ if 2 * g + 1 not in kept} == {g for g, x in alike_.items() if x >= 0.8}
+
+
+def test_exact_links_in_blocks(spark):
+    rng = random.Random(2)
+    sets = {i: set(rng.sample(range(60), 30)) if i % 2 else set(range(i, i + 20)) for i in range(120)}
+    rows = [(b"r", str(i).encode(), sorted(x)) for i, x in sets.items()]
+    df = spark.createDataFrame(rows, "root binary, s binary, h array<long>")
+    want = components(spark.createDataFrame([(str(a).encode(), str(b).encode()) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], "a binary, b binary"))
+    for most in (1000, 17):
+        got = components(simhash.alike(df, 0.8, most))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 # --- 9
 
 def brute_windows(text, size=10):

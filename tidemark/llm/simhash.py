@@ -46,16 +46,29 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: bytes | None, shingle: int, words: int) -> bytes:
-    """A fingerprint of 64 ``words`` bits over the distinct shingles, each word from its own mix of the shingle's hash."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hashes of the distinct shingles, in order; no words: none; fewer than a shingle: the whole sequence is one."""
     import xxhash
 
     w = (text or b"").lower().split()
     if not w:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     join, digest = b" ".join, xxhash.xxh64_intdigest
     found = {join(w)} if len(w) <= shingle else set(map(join, zip(*(w[i:] for i in range(shingle)), strict=False)))
-    h = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
+    return np.unique(np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found)))
+
+
+def set_key(h: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh128_digest(h.tobytes(), SEED)
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> bytes:
+    """A fingerprint of 64 ``words`` bits over the distinct shingles, each word from its own mix of the shingle's hash."""
+    if not len(h):
+        return bytes(8 * words)
     out = np.zeros(words, np.uint64)
     for k in range(words):
         m = h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
@@ -70,23 +83,29 @@ def wide_fingerprint(text: bytes | None, shingle: int, words: int) -> bytes:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str = "fp", shingle: int = 4, words: int = 1) -> DataFrame:
-    """The table's columns but the text, and the fingerprint: a long of 64 bits, or binary if it is of more words than one."""
+    """The table's columns but the text, and the fingerprint: a long of 64 bits, or binary if it is of more words than one, then with ``s``, the key of the set of shingles."""
     import pyarrow as pa
 
     keep = [c for c in df.columns if c != text]
-    schema = df.select(*keep).withColumn(out, F.lit(0).cast("long") if words == 1 else F.lit(b"").cast("binary")).schema
+    schema = df.select(*keep).withColumn(out, F.lit(0).cast("long") if words == 1 else F.lit(b"").cast("binary"))
+    schema = (schema if words == 1 else schema.withColumn("s", F.lit(b"").cast("binary"))).schema
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            memory: dict[bytes, int] = {}
+            memory: dict = {}
             found = []
             for t in column_bytes(b, text):
                 fp = memory.get(t)
                 if fp is None:
-                    fp = memory[t] = fingerprint(t, shingle) if words == 1 else wide_fingerprint(t, shingle, words)
+                    if words == 1:
+                        fp = fingerprint(t, shingle)
+                    else:
+                        h = shingles(t, shingle)
+                        fp = wide_fingerprint(h, words), set_key(h)
+                    memory[t] = fp
                 found.append(fp)
-            fps = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64()) if words == 1 else pa.array(found, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [fps], names=[*keep, out])
+            made = [pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())] if words == 1 else [pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=[*keep, out] + ["s"] * (words > 1))
 
     return df.mapInArrow(run, schema)
 
@@ -270,13 +289,19 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def wide_radius(similarity: float, words: int) -> int:
+    """The expected distance of wide fingerprints at a similarity, and three standard deviations."""
+    bits, share = 64 * words, differing_share(similarity)
+    return int(bits * share + 3 * (bits * share * (1 - share)) ** 0.5)
+
+
 def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.005, block: int = BLOCK) -> DataFrame:
-    """Of distinct wide fingerprints, links between those whose sets look ``similarity`` alike or more.
+    """Of distinct wide fingerprints, links between those whose sets may be ``similarity`` alike or more.
 
-    The radius is the expected distance at that similarity and two standard deviations. Buckets are keys of a few bits,
-    as many of them as leave a pair at the threshold unmet with probability ``miss`` or, if bits run out, a little more."""
+    Buckets are keys of a few bits, as many of them as leave a pair at the threshold unmet with probability ``miss`` or, if bits
+    run out, a little more."""
     bits, share = 64 * words, differing_share(similarity)
-    radius = int(bits * share + 2 * (bits * share * (1 - share)) ** 0.5)
+    radius = wide_radius(similarity, words)
     length = min(14, max(1, int(np.log2(max(fps.count(), 2))) - 9))
     tables = min(bits // length, int(np.ceil(np.log(miss) / np.log(1 - (1 - share) ** length))))
 
@@ -295,6 +320,74 @@ def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.00
     return linked(fps.select("fp").mapInArrow(run, "choice int, bucket long, fp binary"), radius, block)
 
 
+def like_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links (in left, and behind it right) that connect the sets with a Jaccard similarity of that or more."""
+    other = left if right is None else right
+    sizes = np.array([len(x) for x in other])
+    values, where = np.unique(np.concatenate(other), return_inverse=True) if sizes.sum() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(where, kind="stable")
+    owners = np.repeat(np.arange(len(other)), sizes)[order]  # by value, the sets that have it
+    starts = np.append(np.searchsorted(where[order], np.arange(len(values))), len(owners))
+    trees = Forest(len(left) + (0 if right is None else len(right)))
+    for i, x in enumerate(left):
+        if not len(x) or not len(values):
+            continue
+        at = np.searchsorted(values, x)
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == x)]
+        n = starts[at + 1] - starts[at]
+        if not n.sum():
+            continue
+        places = np.arange(n.sum()) + np.repeat(starts[at] - np.append(0, np.cumsum(n)[:-1]), n)
+        both = np.bincount(owners[places], minlength=len(other))
+        found = np.nonzero(both >= similarity * (len(x) + sizes - both) - 1e-9)[0]
+        if len(found):
+            trees.join(i, found if right is None else found + len(left))
+    return trees.links()
+
+
+def alike(suspects: DataFrame, similarity: float, most: int = 512, most_shingles: int = 1 << 22) -> DataFrame:
+    """Links ``a``, ``b`` that connect what has that Jaccard similarity or more within a group. ``suspects``: root, s, h (the shingles' hashes).
+
+    A group above a block is dealt into blocks by a hash, and each pair of blocks is a task: whole, and never more than two blocks in memory."""
+    size = F.size("h")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum(size) / F.lit(most_shingles)), F.lit(1)).cast("int")
+    spread = suspects.groupBy("root").agg(blocks.alias("blocks"))
+    rows = suspects.join(spread, "root").withColumn("own", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int"))
+    pair = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) as lo, greatest(own, x) as hi))")
+    rows = rows.select("root", "own", "s", "h", F.explode(pair).alias("pair")).select("root", "pair.lo", "pair.hi", "own", "s", "h")
+
+    def compare(table):
+        import pyarrow as pa
+
+        own, lo, hi = table.column("own").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        keys = table.column("s").to_pylist()
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("h")]
+        left = np.nonzero(own == lo)[0]
+        right = None if lo == hi else np.nonzero(own == hi)[0]
+        both = left if right is None else np.concatenate([left, right])
+        a, b = like_pairs([sets[i] for i in left], None if right is None else [sets[i] for i in right], similarity)
+        return pa.table({"a": pa.array([keys[both[i]] for i in a], pa.binary()), "b": pa.array([keys[both[i]] for i in b], pa.binary())})
+
+    return rows.groupBy("root", "lo", "hi").applyInArrow(compare, "a binary, b binary")
+
+
+def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
+    """The table's columns but the text, and ``h``, the hashes of its distinct shingles."""
+    keep = [c for c in df.columns if c != text]
+    schema = df.select(*keep).withColumn("h", F.array(F.lit(0).cast("long"))).schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [shingles(t, shingle) for t in column_bytes(b, text)]
+            cuts = np.append(0, np.cumsum([len(x) for x in sets]))
+            h = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [h], names=[*keep, "h"])
+
+    return df.mapInArrow(run, schema)
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: int = 4) -> DataFrame:
     """Per row its fingerprint (16 hex digits) and the smallest id reachable over links of at most ``radius`` bits.
 
@@ -313,8 +406,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: i
 def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
     """One row of each near-duplicate class: that with the smallest (id, row hash). All columns stay.
 
-    Classes are the components of links between texts whose sets of ``shingle`` words look ``similarity`` alike or more, by
-    wide fingerprints: 64 bits can't tell 0.8 from less. Rows alike throughout are one document and one
+    Classes are the components of links between texts whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or
+    more. Candidates come from wide fingerprints (64 bits can't tell 0.8 from less); within each group of candidates the sets
+    themselves are compared. Rows alike throughout are one document and one
     of them stays. Null ids sort last. Null and empty texts are copies of each other."""
     table = Carried(docs)
     i, t = table.at(doc_id), table.at(text)
@@ -323,9 +417,15 @@ def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, simila
     plain = table.frame.select(F.col(i).alias("i"), h, g, F.coalesce(t, F.lit("")).alias("_t"))
     rows = written(with_fingerprint(plain, "_t", "fp", shingle, words), "fingerprints")
     rank = F.struct(F.col("i").isNull().alias("n"), "i", "h", "g")
-    least = written(rows.groupBy("fp").agg(F.min(rank).alias("least")), "distinct-fingerprints")
-    roots = components(wide_links(least.select("fp"), similarity, words))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = written(rows.groupBy("fp", "s").agg(F.min(rank).alias("least")), "distinct-sets")
+    groups = components(wide_links(least.select("fp").distinct(), similarity, words))
+    grouped = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("s", "least", F.coalesce("root", "fp").alias("root"))
+    several = grouped.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
+    suspects = written(grouped.join(several, "root").select("root", "s", F.col("least.h").alias("_h"), F.col("least.g").alias("_g")), "suspects")
+    texts = plain.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "_t").join(suspects, ["_h", "_g"]).dropDuplicates(["_h", "_g"])
+    sets = written(with_shingles(texts.select("root", "s", "_t"), "_t", shingle), "suspects")
+    roots = components(alike(sets, similarity))
+    named = least.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     # the join and the choice among repeated rows go by the same keys: texts are shuffled once
     chosen = table.frame.withColumn("_h", h).withColumn("_g", g).join(kept.select(F.col("h").alias("_h"), F.col("g").alias("_g")), ["_h", "_g"], "left_semi")
