@@ -430,6 +430,21 @@ def test_near_duplicates_by_exact_similarity(spark):
     assert {g for g in alike_ if 2 * g + 1 not in kept} == {g for g, x in alike_.items() if x >= 0.8}
 
 
+def test_keys_do_not_run_out():
+    bits, radius = 512, simhash.wide_radius(0.8, 8)
+    rng = np.random.default_rng(0)
+    for count in (10_000, 2_000_000, 12_000_000, 10**9):
+        length, tables = simhash.keys_for(count, bits, radius)
+        places = simhash.key_places(bits, length, tables)
+        assert len(places) == tables and all(len(set(p)) == length for p in places)
+        missed = 0
+        for _ in range(2000):  # pairs that differ in as many bits as the radius
+            differs = np.zeros(bits, bool)
+            differs[rng.permutation(bits)[:radius]] = True
+            missed += differs[np.array(places)].any(axis=1).all()
+        assert missed <= 25, (count, missed)  # 10 are expected
+
+
 def test_exact_links_in_blocks(spark):
     rng = random.Random(2)
     sets = {i: set(rng.sample(range(60), 30)) if i % 2 else set(range(i, i + 20)) for i in range(120)}

@@ -295,15 +295,26 @@ def wide_radius(similarity: float, words: int) -> int:
     return int(bits * share + 3 * (bits * share * (1 - share)) ** 0.5)
 
 
+def keys_for(count: int, bits: int, radius: int, miss: float = 0.005) -> tuple[int, int]:
+    """(bits of a key, number of keys) so that a pair at the radius agrees on none of the keys with probability ``miss`` at most."""
+    length = min(14, max(1, int(np.log2(max(count, 2))) - 9))
+    agree = float(np.prod([(bits - radius - i) / (bits - i) for i in range(length)]))
+    return length, int(np.ceil(np.log(miss) / np.log(1 - agree)))
+
+
+def key_places(bits: int, length: int, tables: int) -> list[np.ndarray]:
+    """The bits of each key; keys may share bits, so they never run out."""
+    rng = np.random.default_rng(SEED)
+    return [rng.permutation(bits)[:length] for _ in range(tables)]
+
+
 def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.005, block: int = BLOCK) -> DataFrame:
     """Of distinct wide fingerprints, links between those whose sets may be ``similarity`` alike or more.
 
-    Buckets are keys of a few bits, as many of them as leave a pair at the threshold unmet with probability ``miss`` or, if bits
-    run out, a little more."""
-    bits, share = 64 * words, differing_share(similarity)
-    radius = wide_radius(similarity, words)
-    length = min(14, max(1, int(np.log2(max(fps.count(), 2))) - 9))
-    tables = min(bits // length, int(np.ceil(np.log(miss) / np.log(1 - (1 - share) ** length))))
+    Buckets are keys of a few bits, drawn anew for each key, as many of them as ``keys_for`` says for any number of texts."""
+    bits, radius = 64 * words, wide_radius(similarity, words)
+    length, tables = keys_for(fps.count(), bits, radius, miss)
+    places = key_places(bits, length, tables)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -313,8 +324,7 @@ def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.00
             raw = b.column(0).to_pylist()
             some = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
             for k in range(tables):
-                # bits of a key lie a table's number of places apart
-                key = some[:, k : k + tables * length : tables].astype(np.int64) @ weights
+                key = some[:, places[k]].astype(np.int64) @ weights
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(key), b.column(0)], names=["choice", "bucket", "fp"])
 
     return linked(fps.select("fp").mapInArrow(run, "choice int, bucket long, fp binary"), radius, block)
