@@ -27,7 +27,11 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}|\+[0-9]{8,15}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "person": rf"{TITLE}(?:{NAME} ){{0,3}}{NAME}",
 }
-ANY = "|".join(PATTERNS.values())
+ANY = "|".join(p for kind, p in PATTERNS.items() if kind != "card")
+#: Card numbers stand before phones; those of a text are put in by name, so that digits that only look like one hide nothing.
+FIRST, THEN = ("|".join(PATTERNS[k] for k in some) for some in (("email", "ip", "ssn"), ("phone", "person")))
+#: Part of a run of digits can be a card if its groups have three digits or more and are parted alike.
+GROUPS = r"^[0-9]{3,}(?:([ -])[0-9]{3,}(?:\1[0-9]{3,})*)?$"
 #: Syllables that replacement names are made of, by script, and the ends of first names by gender.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha hi jo ka ke la le li lo ma me mi na ne no pa ra re ri ro sa se so ta te ti va ve vi wa",
@@ -81,9 +85,32 @@ def names_of(m: Column) -> Column:
     return let(tokens, lambda t: F.transform(t, lambda x, i: F.struct(F.when(i < F.size(t) - 1, first).otherwise(F.lit("last")).alias("kind"), F.lower(x).alias("norm"))))
 
 
+def cards_of(text: Column) -> Column:
+    """The card numbers of a text as they are written, longest first: of each run of digits the groups in a row that pass the check digit."""
+    runs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9 -]{12,}"), F.lit(0)), lambda r: F.split(r, "[ -]{2,}")))
+
+    def windows(run: Column) -> Column:
+        def cut(groups: Column) -> Column:
+            one = lambda i: F.transform(F.sequence(i, F.least(F.size(groups), i + 18)), lambda j: F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "[ -]$", ""))
+            return F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), one))
+
+        whole = F.regexp_replace(run, "[ -]$", "")
+        some = F.filter(let(F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0)), cut), lambda w: w.rlike("^[0-9](?:[ -]?[0-9]){12,18}$") & ((w == whole) | w.rlike(GROUPS)))
+        return F.filter(some, lambda w: luhn(digits(w)) == 0)
+
+    found = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda r: F.length(digits(r)) >= 13), windows)))
+    return F.transform(F.array_sort(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+
+
+def pattern_of(text: Column) -> Column:
+    """The pattern of a text's entities, among them its card numbers."""
+    literal = lambda c: F.concat(F.lit(rf"{FIRST}|(?<![0-9A-Za-z+])(?:"), F.array_join(c, "|"), F.lit(rf")(?![0-9A-Za-z])|{THEN}"))
+    return let(cards_of(text), lambda c: F.when(F.size(c) > 0, literal(c)).otherwise(F.lit(ANY)))
+
+
 def entities_of(text: Column) -> Column:
     """The distinct (kind, norm) of a text."""
-    hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    hits = let(pattern_of(text), lambda p: F.regexp_extract_all(text, p, F.lit(0)))
 
     def one(m: Column) -> Column:
         return let(kind_of(m), lambda k: F.when(k == "person", names_of(m)).otherwise(F.array(F.struct(k.alias("kind"), norm_of(k, m).alias("norm")))))
@@ -205,7 +232,7 @@ def replaced(text: Column, known: Column) -> Column:
     """The text with every mention replaced; names met after a title are replaced where they stand alone too."""
     keys = F.transform(F.filter(F.map_keys(known), lambda k: k.rlike("^(?:last|first_.):")), lambda k: F.initcap(F.regexp_replace(k, "^[a-z_]+:", "")))
     names = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(keys, "|"), F.lit(r")(?!\p{L})"))
-    pattern = F.when(F.size(keys) > 0, F.concat(F.lit(ANY + "|"), names)).otherwise(F.lit(ANY))
+    pattern = let(pattern_of(text), lambda p: F.when(F.size(keys) > 0, F.concat(p, F.lit("|"), names)).otherwise(p))
 
     def whole(p: Column) -> Column:
         hits, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
