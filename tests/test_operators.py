@@ -303,6 +303,14 @@ def test_chi2():
     assert [round(kernels.chi2_quantile(0.999, d), 3) for d in (1, 2, 3)] == [10.828, 13.816, 16.266]
 
 
+def test_mutual_information_sees_the_whole_sample():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=6000), rng.normal(size=6000)
+    y[2000:] = x[2000:] + 0.01 * rng.normal(size=4000)
+    row = D.pair_rows(np.column_stack([x, y]), ["x", "y"], [(0, 1)], None, True, 0, 0)[0]
+    assert row[4] > 0.5 and row[4] == kernels.mutual_information(x, y, seed=0)
+
+
 def test_mutual_information():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500)

@@ -101,11 +101,15 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0)
     if n <= k + 1:
         return 0.0
     z = [(v - v.mean()) / (v.std() or 1.0) + 1e-10 * rng.standard_normal(n) for v in (np.asarray(x, float), np.asarray(y, float))]
-    dx, dy = _unlike(z[0]), _unlike(z[1])
-    d = np.maximum(dx, dy)
-    np.fill_diagonal(d, np.inf)
-    eps = np.partition(d, k - 1, axis=1)[:, k - 1]
-    nx, ny = (dx < eps[:, None]).sum(1) - 1, (dy < eps[:, None]).sum(1) - 1
+    nx, ny = np.empty(n, np.int64), np.empty(n, np.int64)
+    step = max(1, 2_000_000 // n)
+    for at in range(0, n, step):  # some rows at a time against all: memory doesn't grow with n squared
+        rows = np.arange(at, min(n, at + step))
+        dx, dy = (np.abs(v[rows, None] - v[None, :]) for v in z)
+        d = np.maximum(dx, dy)
+        d[np.arange(len(rows)), rows] = np.inf
+        eps = np.partition(d, k - 1, axis=1)[:, k - 1]
+        nx[rows], ny[rows] = (dx < eps[:, None]).sum(1) - 1, (dy < eps[:, None]).sum(1) - 1
     return max(0.0, float(digamma(k) + digamma(n) - np.mean([digamma(a + 1) + digamma(b + 1) for a, b in zip(nx, ny, strict=True)])))
 
 

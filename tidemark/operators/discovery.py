@@ -68,7 +68,7 @@ def pair_rows(data: np.ndarray, columns: list[str], pairs: list[tuple[int, int]]
         pearson, dcor = kernels.pearson_abs(x, y), kernels.distance_correlation(x, y)
         part = None if partial is None else float(partial[i, j])
         p = kernels.block_pvalue(x, y, dcor, n_perm, seed=seed) if n_perm and dcor >= LEAST_DCOR else None
-        mi = kernels.mutual_information(x[:2000], y[:2000], seed=seed) if with_mi else None
+        mi = kernels.mutual_information(x, y, seed=seed) if with_mi else None
         out.append((columns[i], columns[j], round(pearson, 4), round(dcor, 4), mi, None if part is None else round(part, 4), is_direct(pearson, part), classify(pearson, dcor), p, None if p is None else p <= 0.05))
     return out
 
