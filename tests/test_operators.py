@@ -354,6 +354,15 @@ def test_baseline_against_itself(spark, regimes):
     assert rows.where("flagged").count() <= 0.02 * 1200
 
 
+def test_autoencoder_threshold_is_over_all_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = frame(spark, [(0, float(x), float(y)) for x, y in rng.normal(size=(6000, 2))], "label int, a double, b double")
+    nets = N.train_autoencoders(rows, ["a", "b"], most=300)
+    errors = np.array([r["error"] for r in N.autoencoder_errors(rows, ["a", "b"], nets).collect()])
+    assert nets[0][1] == np.sort(errors)[int(np.ceil(0.999 * 6000)) - 1]
+    assert (errors > nets[0][1]).sum() == 6
+
+
 def test_transitions(spark):
     seq = frame(spark, [(float(i), x) for i, x in enumerate([0, 1, 2] * 20)], "t double, label int")
     base = N.transitions(seq)

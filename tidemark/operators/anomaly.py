@@ -181,14 +181,16 @@ def detect_joint(labelled: DataFrame, envelopes: dict[int, dict]) -> DataFrame:
 
 
 def train_autoencoders(labelled: DataFrame, columns: list[str], most: int = 5000, q: float = 0.999) -> dict[int, tuple]:
-    """Per label with 200 rows or more, a small network trained on a capped sample, and the error that q of it stays under."""
-    found = {}
+    """Per label with 200 rows or more, a small network trained on a capped sample, and the error that q of all the label's rows stay under."""
+    nets = {}
     for k in sorted(r[0] for r in labelled.select("label").distinct().collect()):
         data = discovery.sampled(labelled.where(F.col("label") == k).dropna(subset=columns), columns, most)
         if len(data) >= 200:
-            net = kernels.Autoencoder(len(columns)).fit(data)
-            found[k] = (net, float(np.quantile(net.errors(data), q)))
-    return found
+            nets[k] = (kernels.Autoencoder(len(columns)).fit(data), float("inf"))
+    if not nets:
+        return {}
+    limits = autoencoder_errors(labelled, columns, nets).groupBy("label").agg(F.percentile_approx("error", q, 100_000).alias("q")).collect()
+    return {r["label"]: (nets[r["label"]][0], r["q"]) for r in limits}
 
 
 def autoencoder_errors(labelled: DataFrame, columns: list[str], models: dict[int, tuple]) -> DataFrame:

@@ -639,4 +639,4 @@ def fused_dependence(spark, d):
 @query()
 def autoencoder_flags(spark, d):
     df = D.assign_labels(spark.read.parquet(f"{d}/lineitem.parquet").select(*LINE), CENTRES)
-    return N.autoencoder_errors(df, LINE, N.train_autoencoders(df, LINE, most=1000)).groupBy("label").agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"))
+    return N.autoencoder_errors(df, LINE, N.train_autoencoders(df, LINE)).groupBy("label").agg(F.count("*").alias("n"), F.count_if("flagged").alias("flagged"))
