@@ -303,6 +303,18 @@ def test_chi2():
     assert [round(kernels.chi2_quantile(0.999, d), 3) for d in (1, 2, 3)] == [10.828, 13.816, 16.266]
 
 
+def test_dcor_over_all_events(spark):
+    from tidemark.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").dropna().collect()
+    assert 200 < len(rows) <= 10_000
+    a, b = (np.abs(v[:, None] - v[None, :]) for v in (np.array([r["value"] for r in rows], float), np.array([r["event_id"] % 17 for r in rows], float)))
+    a, b = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (a, b))
+    want = math.sqrt((a * b).mean() / math.sqrt((a * a).mean() * (b * b).mean()))
+    assert Q.QUERIES["dcor_events"](spark, sf).first()[0] == pytest.approx(want, abs=1e-3)
+
+
 def test_mutual_information_sees_the_whole_sample():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=6000), rng.normal(size=6000)

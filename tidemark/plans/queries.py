@@ -402,12 +402,19 @@ SELECT round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 4) AS dcor FROM c
 
 @query(_DC)
 def dcor_small(spark, d):
-    # the event ids are the operator's sample: distance correlation is measured on bounded samples
+    # an excerpt by event id, small enough for the twin's self-join; dcor_events is over all events
     df = events(spark, d).where("event_id < 200").select(F.col("value").alias("x"), (F.col("event_id") % 17).cast("double").alias("y"))
     data = D.sampled(df, ["x", "y"], 10_000)
     return D.pairwise_dependence(spark, ["x", "y"], data).select("dcor")
 
 
+@query()
+def dcor_events(spark, d):
+    df = events(spark, d).select(F.col("value").alias("x"), (F.col("event_id") % 17).cast("double").alias("y"))
+    data = D.sampled(df, ["x", "y"], D.sample_cap(2))
+    return D.pairwise_dependence(spark, ["x", "y"], data).select("dcor")
+
+
 # --- anomaly
 
 def labels(ev: DataFrame) -> DataFrame:
