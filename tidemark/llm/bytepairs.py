@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 
@@ -274,16 +276,15 @@ _PARTS = re.compile(r"(?<=\S) (?=\S)").split
 class WordEncoder:
     """Ids of texts for a tokenizer that lowers letters, drops white space and marks word ends.
 
-    The ids of a text are those of its stretches between white space, so stretches are encoded once and kept, up
-    to a bound. New ones are merged many at a time, in numpy: all words of a length side by side,
-    each step applying to each word its best-ranked pair. Stretches beyond printable Latin-1, long ones
-    and those with special strings go through the library."""
+    The ids of a text are those of its pretokens (words, single digits, runs of marks), so these are numbered, encoded once and
+    kept. Above a bound only the half that was used most goes on being kept. New ones are
+    merged many at a time, in numpy: all of a length side by side, each step applying to each its
+    best-ranked pair. Stretches between white space beyond printable Latin-1 or with special strings, and
+    long pretokens, go through the library."""
 
-    LONG, MOST = 48, 300_000
+    LONG, MOST = 48, 200_000
 
     def __init__(self, path: str):
-        import regex
-
         self.path, self.library = path, None  # the library is loaded when a stretch needs it
         self.merges = m = Merges(path)
         char = {b: c for c, b in alphabet().items()}
@@ -292,63 +293,85 @@ class WordEncoder:
         pairs = sorted((a << 20 | b, r, w) for (a, b), (r, w) in m.rank.items())
         self.keys, self.ranks, self.wholes = (np.array([p[i] for p in pairs], np.int64) for i in range(3))
         self.ranks = self.ranks.astype(np.int32)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps nothing."""
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if _ODD(t)]  # white space to Python that the tokenizer keeps
-        kept = self.kept
-        if len(kept) > self.MOST:
-            kept.clear()
-        if len(self.words) > self.MOST // 2:
-            self.words.clear()
-        parts = [t.split() for t in texts]
-        found = [list(map(kept.get, p)) for p in parts]
-        new: set[str] = set()
-        for p, f in zip(parts, found, strict=True):
-            if None in f:
-                new.update(w for w, x in zip(p, f, strict=True) if x is None)
-        self.learn(new)
-        out = [b"".join([kept[w] if x is None else x for w, x in zip(p, f, strict=True)] if None in f else f) for p, f in zip(parts, found, strict=True)]
-        for i, ids in zip(odd, self.by_library([texts[i] for i in odd]), strict=True):
+        return self.encode_many([text])[0].tobytes()
+
+    def encode_many(self, texts: list[str], together: int = 4_000_000) -> list[np.ndarray]:
+        """The ids of each text; about so many characters are held as pretokens at once."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > together:
+                out += self._encoded(some)
+                some, size = [], 0
+        return out + self._encoded(some)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > self.MOST:
+            self._trim()
+        number = self.number.__getitem__
+        odd = {i for i, t in enumerate(texts) if _ODD(t)}  # white space to Python that the tokenizer keeps
+        parts = []
+        for i, t in enumerate(texts):
+            p = [] if i in odd else pretokens(t)
+            parts.append(np.fromiter(map(number, p), np.int32, len(p)))
+        self._learn(list(islice(self.number, len(self.size), None)))
+        out = []
+        for p in parts:
+            self.uses += np.bincount(p, minlength=len(self.uses)) if len(p) > 4096 else 0
+            if len(p) <= 4096:
+                np.add.at(self.uses, p, 1)
+            sizes = self.size[p]
+            ends = np.cumsum(sizes)
+            out.append(self.ids[np.repeat(self.start[p] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        for i, ids in zip(sorted(odd), self.by_library([texts[i] for i in sorted(odd)]), strict=True):
             out[i] = ids
         return out
 
-    def by_library(self, texts: list[str]) -> list[bytes]:
+    def by_library(self, texts: list[str]) -> list[np.ndarray]:
         if not texts:
             return []
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, parts: set[str]) -> None:
-        odd, cut, longest = [], {}, self.LONG
-        for p in parts:
-            if p.isascii() and len(p) <= longest:
-                if p.isalpha():
-                    cut[p] = (p.lower(),)
-                    continue
-                if p[-1] in ".,;:!?" and p[:-1].isalpha():
-                    cut[p] = (p[:-1].lower(), p[-1])
-                    continue
-            if len(p) <= longest and _PLAIN(p) and "<|" not in p:
-                cut[p] = (p.lower(),) if p.isalpha() else self.split(p.lower())
-            else:
-                odd.append(p)
-        if odd:
-            self.kept.update(zip(odd, self.by_library(odd), strict=True))
-        words = self.words
-        new = list({w for c in cut.values() for w in c if w not in words})
-        words.update(zip(new, self.merge(new), strict=True))
-        for p, c in cut.items():
-            self.kept[p] = words[c[0]] if len(c) == 1 else b"".join(map(words.__getitem__, c))
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [i for i, p in enumerate(new) if len(p) > self.LONG or (not (p.isalnum() and p.isascii()) and _BEYOND(p))]
+        special = set(odd)
+        plain = [i for i in range(len(new)) if i not in special]
+        found: list = [None] * len(new)
+        for i, ids in zip(odd, self.by_library([new[i] for i in odd]), strict=True):
+            found[i] = ids.tobytes()
+        for i, ids in zip(plain, self.merge([new[i] for i in plain]), strict=True):
+            found[i] = ids
+        sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+
+    def _trim(self) -> None:
+        best = np.sort(np.argsort(-self.uses, kind="stable")[: self.MOST // 2])
+        words = list(self.number)
+        sizes, starts, ids, uses = self.size[best], self.start[best], self.ids, self.uses[best]
+        kept = [words[i] for i in best.tolist()]
+        self.forget()
+        self.number.update((w, self.number.default_factory()) for w in kept)
+        ends = np.cumsum(sizes)
+        self.ids = ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.start, self.size, self.uses = ends - sizes, sizes, uses // 2
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and merged ids of pairs; the rank is the largest number where there is none."""
@@ -400,7 +423,17 @@ class WordEncoder:
 LATER = "\u0558"
 NONE = np.iinfo(np.int32).max
 _ODD = re.compile(r"[\x1c-\x1f]").search
-_PLAIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch
+#: What is neither printable Latin-1 nor white space, or may start a special string.
+_BEYOND = re.compile(r"[^\t-\r -~\xa0-\xff]|<\|").search
+#: In lower-case Latin-1: what stands beside words. Between two of these, or one and a word, the tokenizer splits.
+_BESIDE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+").sub
+
+
+def pretokens(text: str) -> list[str]:
+    """The pretokens of a text in lower case; a stretch beyond printable Latin-1 stays one, as it is."""
+    if not _BEYOND(text):
+        return _BESIDE(r" \g<0> ", text.lower()).split()
+    return [p for w in text.split() for p in ([w] if _BEYOND(w) else _BESIDE(r" \g<0> ", w.lower()).split())]
 
 
 @cache

@@ -98,8 +98,8 @@ def pack(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, end: int
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     The order is that of the ids, nulls first, and of the texts' hashes where ids are alike. Tasks hold ranges of it of
-    about ``task_bytes`` of text and cut them in runs of about ``run_tokens`` ids, so that many documents
-    with one id (which a range cannot part) still take bounded memory. A null text is empty: one piece,
+    about ``task_bytes`` of text and cut them in runs of about ``run_tokens`` ids, so that many copies of one row
+    (which a range cannot part) still take bounded memory. A null text is empty: one piece,
     the end id. An empty table gives an empty one. A sequence's id holds the task's number and a
     count, so a task that runs again gives the same."""
     import pyarrow as pa
@@ -108,7 +108,8 @@ def pack(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, end: int
     plain = pick(docs, doc_id, text).toDF("doc_id", "text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // task_bytes))
-    ordered = plain.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = plain.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kind = plain.schema["doc_id"]
     schema = f"doc_id {kind.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, end: int
                 some = b.slice(at, 1000)
                 for i, ids in zip(column_list(some, "doc_id"), encoder.encode_many([t or "" for t in column_list(some, "text")]), strict=True):
                     names.append(i)
-                    held.append(np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
+                    held.append(np.append(ids, np.uint32(end)))
                     n += len(held[-1])
                     if n >= run_tokens:
                         yield flush()
