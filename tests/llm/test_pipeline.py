@@ -30,10 +30,11 @@ def test_stages_in_turn(spark):
 
     good = {}
     for d, r in have.items():
-        n, _, _, _, rep = brute_quality(r["text"])
-        if n >= 50 and 100 * rep <= 50 * n:
+        n, chars, symbols, again, rep = brute_quality(r["text"])
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in (r["text"] or "").split("\n"))
+        if n >= 50 and 100 * rep <= 50 * n and 10 * symbols <= n and 10 * again <= 3 * lines and 2 * n <= chars <= 15 * n:
             good[d] = r
-    assert kept["quality"] == good  # no host here is bad enough for a verdict of its own
+    assert kept["quality"] == good  # hosts here differ no more than chance has it, so all are strict
 
     sets = {d: {tuple(words(r["text"])[i : i + 5]) for i in range(max(1, len(words(r["text"])) - 4))} for d, r in good.items()}
     left = kept["simhash"]

@@ -3,8 +3,10 @@
 Each document is measured once. Rule failures are summed by host (the sums are pre-aggregated before
 they are shuffled, so a hot host costs one row a task); each rule's failure rate in a host is shrunk
 towards the corpus by a beta prior fitted to all hosts by moments; and the hosts' verdicts are joined
-back. A host whose shrunk rate of a base rule is above ``reject`` loses all its documents; one with any
-shrunk rate above ``strict`` keeps only those that pass every rule; in any other host only the base rules count."""
+back. A host whose shrunk rate of a base rule is above ``reject`` loses all its documents. One whose shrunk rates are
+at most ``lenient`` times the corpus's, for every further rule that any document fails, has earned leniency: of its documents only the
+base rules are asked. Any other host is strict: its documents must pass every rule. As rates are shrunk, a
+host with few documents, or hosts that differ no more than chance has it, earn nothing."""
 
 from __future__ import annotations
 
@@ -70,12 +72,12 @@ def measured(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return df.withColumn(f"{p}n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")).drop("_w", "_s", "_l")
 
 
-def verdicts(judged: DataFrame, host: str, rules: list[str], reject: float, strict: float, base: list[str]) -> DataFrame:
-    """Per host (column ``host``): ``verdict`` 'reject' or 'strict'; hosts without either are left out.
+def verdicts(judged: DataFrame, host: str, rules: list[str], reject: float, lenient: float, base: list[str]) -> DataFrame:
+    """Per host (column ``host``): ``verdict`` 'reject' or 'lenient'; strict hosts are left out.
 
     ``judged`` has a boolean column per rule. Null hosts are no hosts. With k failures of n
     documents, a rate is (k + m s) / (n + s): m the corpus's rate, and s the strength of a beta prior
-    whose variance is that between hosts, kept within 1 and 10,000."""
+    whose variance is that between hosts, kept within 1 and 10,000. Ties with a limit count as at most it."""
     sums = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in rules])
     sums = written(sums, "hosts")
     total = sums.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in rules]).first()
@@ -89,8 +91,10 @@ def verdicts(judged: DataFrame, host: str, rules: list[str], reject: float, stri
         between = spread[r] / total["n"] - noise * total["hosts"] / total["n"]
         s = min(10_000.0, max(1.0, noise / between - 1)) if between > 1e-12 else 10_000.0
         rates[r] = (F.col(r) + F.lit(m[r] * s)) / (F.col("n") + F.lit(s))
-    worst = lambda some: F.greatest(*[rates[r] for r in some], F.lit(0.0))
-    verdict = F.when(worst(base) > F.lit(reject), "reject").when(worst(rules) > F.lit(strict), "strict")
+    bad = F.greatest(*[rates[r] for r in base], F.lit(0.0)) > F.lit(reject)
+    ratios = [rates[r] / F.lit(m[r]) for r in rules if r not in base and m[r] > 0]
+    good = F.greatest(*ratios, F.lit(0.0)) <= F.lit(lenient) if ratios else F.lit(True)
+    verdict = F.when(bad, "reject").when(good, "lenient")
     return sums.select("host", verdict.alias("verdict")).where("verdict is not null")
 
 
@@ -105,26 +109,25 @@ def with_verdict(judged: DataFrame, host: str, found: DataFrame) -> DataFrame:
 
 
 def _kept() -> Column:
-    fine = ~F.expr(" OR ".join(BASE_RULES))
-    passes = ~F.expr(" OR ".join(RULES))
-    return fine & F.when(F.col("_verdict") == "reject", F.lit(False)).when(F.col("_verdict") == "strict", passes).otherwise(F.lit(True))
+    fine, passes = (~F.expr(" OR ".join(some)) for some in (BASE_RULES, RULES))
+    return F.when(F.col("_verdict") == "reject", F.lit(False)).when(F.col("_verdict") == "lenient", fine).otherwise(passes)
 
 
-def judge(docs: DataFrame, doc_id: str, text: str, host: str, reject: float = 0.9, strict: float = 0.5) -> DataFrame:
-    """Per row: doc_id, the measures, base_failed, kept, and host_verdict ('ok' where the host has none).
+def judge(docs: DataFrame, doc_id: str, text: str, host: str, reject: float = 0.9, lenient: float = 0.5) -> DataFrame:
+    """Per row: doc_id, the measures, base_failed, kept, and host_verdict ('strict' where the host has no other).
 
-    Null and empty texts measure zero and fail the base rules. A null host has no verdict. Repeated rows
+    Null and empty texts measure zero and fail the base rules. Rows with a null host are judged strictly. Repeated rows
     are judged each. An empty table gives an empty one."""
     rows = pick(docs, doc_id, text, host).toDF("doc_id", "text", "host")
     rows = measured(rows, "text").drop("text")
     for rule, test in RULES.items():
         rows = rows.withColumn(rule, F.expr(test))
     rows = written(rows, "quality")
-    rows = with_verdict(rows, "host", verdicts(rows, "host", list(RULES), reject, strict, list(BASE_RULES)))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(" OR ".join(BASE_RULES)).alias("base_failed"), _kept().alias("kept"), F.coalesce("_verdict", F.lit("ok")).alias("host_verdict"))
+    rows = with_verdict(rows, "host", verdicts(rows, "host", list(RULES), reject, lenient, list(BASE_RULES)))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(" OR ".join(BASE_RULES)).alias("base_failed"), _kept().alias("kept"), F.coalesce("_verdict", F.lit("strict")).alias("host_verdict"))
 
 
-def keep_good(docs: DataFrame, text: str, host: str, reject: float = 0.9, strict: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, text: str, host: str, reject: float = 0.9, lenient: float = 0.5) -> DataFrame:
     """The documents that ``judge`` keeps, all their columns with them."""
     table = Carried(docs)
     rows = measured(table.frame, table.at(text), "_m_")
@@ -133,7 +136,7 @@ def keep_good(docs: DataFrame, text: str, host: str, reject: float = 0.9, strict
             test = test.replace(name, f"_m_{name}")
         rows = rows.withColumn(rule, F.expr(test))
     rows = written(rows.select(*table.frame.columns, *RULES), "quality")
-    rows = with_verdict(rows, table.at(host), verdicts(rows, table.at(host), list(RULES), reject, strict, list(BASE_RULES)))
+    rows = with_verdict(rows, table.at(host), verdicts(rows, table.at(host), list(RULES), reject, lenient, list(BASE_RULES)))
     return table.back(rows.where(_kept()))
 
 
@@ -156,11 +159,12 @@ v AS (SELECT rule, any_value(tot.m) AS m, any_value(tot.m) * (1 - any_value(tot.
       sum(h.n * pow(h.k / h.n - tot.m, 2)) / any_value(tot.n) - any_value(tot.m) * (1 - any_value(tot.m)) * any_value(tot.hosts) / any_value(tot.n) AS between_hosts
       FROM h JOIN tot USING (rule) GROUP BY rule),
 s AS (SELECT rule, m, CASE WHEN between_hosts > 1e-12 THEN least(10000.0, greatest(1.0, noise / between_hosts - 1)) ELSE 10000.0 END AS s FROM v),
-rate AS (SELECT host, rule, (k + m * s) / (n + s) AS rate FROM h JOIN s USING (rule)),
-ver AS (SELECT host, CASE WHEN max(CASE WHEN rule IN ({", ".join(f"'{r}'" for r in BASE_RULES)}) THEN rate ELSE 0 END) > 0.9 THEN 'reject'
-        WHEN max(rate) > 0.5 THEN 'strict' ELSE 'ok' END AS verdict FROM rate GROUP BY host)
+rate AS (SELECT host, rule, m, (k + m * s) / (n + s) AS rate FROM h JOIN s USING (rule)),
+ver AS (SELECT host, CASE WHEN max(CASE WHEN base THEN rate ELSE 0 END) > 0.9 THEN 'reject'
+        WHEN max(CASE WHEN NOT base AND m > 0 THEN rate / m ELSE 0 END) <= 0.5 THEN 'lenient' ELSE 'strict' END AS verdict
+        FROM (SELECT *, rule IN ({", ".join(f"'{r}'" for r in BASE_RULES)}) AS base FROM rate) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({" OR ".join(BASE_RULES)}) AS base_failed,
-       NOT ({" OR ".join(BASE_RULES)}) AND CASE coalesce(verdict, 'ok') WHEN 'reject' THEN false WHEN 'strict' THEN NOT ({" OR ".join(RULES)}) ELSE true END AS kept,
-       coalesce(verdict, 'ok') AS host_verdict
+       CASE coalesce(verdict, 'strict') WHEN 'reject' THEN false WHEN 'lenient' THEN NOT ({" OR ".join(BASE_RULES)}) ELSE NOT ({" OR ".join(RULES)}) END AS kept,
+       coalesce(verdict, 'strict') AS host_verdict
 FROM j LEFT JOIN ver ON j.source = ver.host
 """
