@@ -17,8 +17,10 @@ from tidemark.llm.quality import let
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа", "Κυρία")
-TITLE = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? "
-NAME = r"\p{Lu}[\p{L}'’]{1,30}(?:-\p{Lu}\p{L}{1,30})?"
+NEUTRAL = ("Dr", "Prof", "Professor", "Dra", "Д-р", "Доктор", "Профессор", "Δρ")
+TITLE = rf"(?<!\p{{L}})(?:{'|'.join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))})\.? "
+#: An apostrophe is a name's if two letters or more follow: O'Brien, but not the possessive.
+NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2})){1,30}(?:-\p{Lu}\p{L}{1,30})?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
@@ -38,9 +40,11 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве ви га го да де до за ка ке ла ле ли ло ма ме ми на не но па ра ре ри ро са се со та те ти фа ха",
     "greek": "βα βε γα γο δα δε δο ζα θα κα κε κο λα λε λι λο μα με μι να νε νο πα ρα ρε ρι ρο σα σε σο τα τε τι φα χα",
 }
-ENDS = {"latin": ("ndo", "lia"), "cyrillic": ("слав", "лина"), "greek": ("νος", "λια")}
-MOST_ATTEMPTS = 40
-SALTS = 16
+ENDS = {"latin": ("ndo", "lia", "ri"), "cyrillic": ("слав", "лина", "ша"), "greek": ("νος", "λια", "ρι")}
+NAMES = ("last", "first_m", "first_f", "first_n")
+#: From attempt ``WIDER`` on a number gets one more digit each time, so that its kind never runs out of replacements.
+MOST_ATTEMPTS, WIDER = 60, 20
+SALTS, USE_SALTS = 16, 64
 
 
 def digits(x: Column) -> Column:
@@ -78,9 +82,9 @@ def norm_of(kind: Column, m: Column) -> Column:
 
 
 def names_of(m: Column) -> Column:
-    """(kind, name) of the names after a title; the gender is the title's."""
-    female = m.rlike(f"^(?:{'|'.join(sorted(FEMALE, key=len, reverse=True))})\\.? ")
-    first = F.when(female, F.lit("first_f")).otherwise(F.lit("first_m"))
+    """(kind, name) of the names after a title; the gender is the title's, or none."""
+    titled = lambda some: m.rlike(f"^(?:{'|'.join(sorted(some, key=len, reverse=True))})\\.? ")
+    first = F.when(titled(FEMALE), F.lit("first_f")).when(titled(NEUTRAL), F.lit("first_n")).otherwise(F.lit("first_m"))
     tokens = F.split(F.regexp_replace(m, f"^{TITLE}", ""), " ")
     return let(tokens, lambda t: F.transform(t, lambda x, i: F.struct(F.when(i < F.size(t) - 1, first).otherwise(F.lit("last")).alias("kind"), F.lower(x).alias("norm"))))
 
@@ -137,10 +141,11 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
             high = (i == 0) | ((i == 3) & (F.length(d) == 10))
             return F.when(high, (at(h, i) % (10 - low_first) + low_first).cast("string")).otherwise((at(h, i) % 10).cast("string"))
 
-        return F.array_join(F.transform(F.filter(F.split(d, ""), lambda c: c != ""), char), "")
+        wide = F.substr(F.repeat(F.lit("0"), MOST_ATTEMPTS), F.lit(1), F.greatest(attempt.cast("int") - (WIDER - 1), F.lit(0)))
+        return F.array_join(F.transform(F.filter(F.split(F.concat(d, wide), ""), lambda c: c != ""), char), "")
 
     def card(d: Column, h: Column) -> Column:
-        body = F.concat(F.substr(d, F.lit(1), F.lit(1)), F.substr(number(d, h, 0), F.lit(2), F.length(d) - 2))
+        body = let(number(d, h, 0), lambda x: F.concat(F.substr(d, F.lit(1), F.lit(1)), F.substr(x, F.lit(2), F.length(x) - 2)))
         return let(body, lambda b: F.concat(b, ((F.lit(10) - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
 
     def ip(h: Column) -> Column:  # the reserved class, which no host has
@@ -158,7 +163,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         def in_script(script: str) -> Column:
             syllables = F.array(*[F.lit(s) for s in SYLLABLES[script].split()])
             body = F.transform(F.sequence(F.lit(1), F.lit(2) + F.when(kind == "last", 1).otherwise(0) + attempt.cast("int")), lambda i: F.get(syllables, (at(h, i * 3) % len(SYLLABLES[script].split())).cast("int")))
-            return F.concat(F.array_join(body, ""), F.when(kind == "first_m", F.lit(ENDS[script][0])).when(kind == "first_f", F.lit(ENDS[script][1])).otherwise(F.lit("")))
+            return F.concat(F.array_join(body, ""), F.when(kind == "first_m", F.lit(ENDS[script][0])).when(kind == "first_f", F.lit(ENDS[script][1])).when(kind == "first_n", F.lit(ENDS[script][2])).otherwise(F.lit("")))
 
         return F.when(x.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).when(x.rlike(r"\p{IsGreek}"), in_script("greek")).otherwise(in_script("latin"))
 
@@ -168,7 +173,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
             .when(kind == "ip", ip(h))
             .when(kind == "card", card(norm, h))
             .when(kind == "phone", number(norm, h, 2))
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substr(number(norm, h, 0), F.lit(2), F.lit(8))))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substr(number(norm, h, 0), F.lit(2), F.lit(8 + MOST_ATTEMPTS))))
             .otherwise(name(norm, h))
         )
 
@@ -179,8 +184,9 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) of distinct entities, one-to-one, and no surrogate an original.
 
     Rounds: entities without a surrogate try the next one; of those that try the same, the first by norm
-    has it, unless it is taken or is an original itself. Names of any kind must differ from all other names."""
-    group = lambda k: F.when(k.isin("last", "first_m", "first_f"), F.lit("name")).otherwise(k)
+    has it, unless it is taken or is an original itself. Names of any kind must differ from all other names.
+    A kind has more replacements with each attempt, so that every entity gets one however many there are."""
+    group = lambda k: F.when(k.isin(*NAMES), F.lit("name")).otherwise(k)
     entities = written(entities.select("kind", "norm", group(F.col("kind")).alias("g")), "entities")
     pending, done = entities, None
     for attempt in range(MOST_ATTEMPTS):
@@ -198,6 +204,16 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"entities left without a surrogate after {MOST_ATTEMPTS} attempts")
 
 
+def named(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate) of distinct entities. A first name after a neutral title is that of a gendered one, where the corpus has it."""
+    entities = written(entities, "entities")
+    gendered = entities.where(F.col("kind").isin("first_f", "first_m")).groupBy("norm").agg(F.min("kind").alias("as"))
+    also = entities.where("kind = 'first_n'").join(gendered, "norm")
+    found = written(assigned(entities.join(also.select("kind", "norm"), ["kind", "norm"], "left_anti"), key), "surrogates")
+    same = also.select("norm", F.col("as").alias("kind")).join(found, ["kind", "norm"]).select(F.lit("first_n").alias("kind"), "norm", "surrogate")
+    return found.unionByName(same)
+
+
 def rendered(m: Column, known: Column) -> Column:
     """A mention with its replacement, in its own format."""
     def look(kind: Column, norm: Column) -> Column:
@@ -208,7 +224,8 @@ def rendered(m: Column, known: Column) -> Column:
             right = F.length(digits(F.substr(m, i + 1, F.length(m))))
             return F.when(c.rlike("^[0-9]$") & (right <= F.length(new)), F.substr(new, F.length(new) - right + 1, F.lit(1))).otherwise(c)
 
-        return F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), char), "")
+        further = F.substr(new, F.lit(1), F.greatest(F.length(new) - F.length(digits(m)), F.lit(0)))
+        return F.concat(further, F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), char), ""))
 
     def cased(new: Column, old: Column) -> Column:
         return F.when(old == F.upper(old), F.upper(new)).otherwise(F.initcap(new))
@@ -219,7 +236,7 @@ def rendered(m: Column, known: Column) -> Column:
         old = F.split(F.regexp_replace(m, f"^{TITLE}", ""), " ")
         return F.concat(title, F.array_join(F.zip_with(new, old, cased), " "))
 
-    bare = F.coalesce(*[look(F.lit(k), F.lower(m)) for k in ("last", "first_m", "first_f")])
+    bare = F.coalesce(*[look(F.lit(k), F.lower(m)) for k in NAMES])
 
     def by_kind(k: Column) -> Column:
         plain = look(k, norm_of(k, m))
@@ -229,9 +246,11 @@ def rendered(m: Column, known: Column) -> Column:
 
 
 def replaced(text: Column, known: Column) -> Column:
-    """The text with every mention replaced; names met after a title are replaced where they stand alone too."""
-    keys = F.transform(F.filter(F.map_keys(known), lambda k: k.rlike("^(?:last|first_.):")), lambda k: F.initcap(F.regexp_replace(k, "^[a-z_]+:", "")))
-    names = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(keys, "|"), F.lit(r")(?!\p{L})"))
+    """The text with every mention replaced; names met after a title are replaced where they stand alone too, in any
+    case that begins with a capital."""
+    keys = F.transform(F.filter(F.map_keys(known), lambda k: k.rlike("^(?:last|first_.):")), lambda k: F.regexp_replace(k, "^[a-z_]+:", ""))
+    longest = F.transform(F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda x: x["k"])
+    names = F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))
     pattern = let(pattern_of(text), lambda p: F.when(F.size(keys) > 0, F.concat(p, F.lit("|"), names)).otherwise(p))
 
     def whole(p: Column) -> Column:
@@ -250,8 +269,10 @@ def with_surrogates(frame: DataFrame, text: str, key: str) -> DataFrame:
     rows = frame.withColumn("_e", found).withColumn("_e", F.coalesce("_e", F.array().cast("array<struct<kind:string,norm:string>>")))
     some = rows.where(F.size("_e") > 0).withColumn("_k", F.sha2(F.col(text).cast("binary"), 256))
     uses = written(some.select("_k", F.explode("_e").alias("e")).select("_k", "e.kind", "e.norm").distinct(), "uses")
-    names = assigned(uses.select("kind", "norm").distinct(), key)
-    maps = uses.join(names, ["kind", "norm"]).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "norm"), "surrogate"))).alias("_m"))
+    uses = uses.withColumn("_u", F.pmod(F.xxhash64("_k"), F.lit(USE_SALTS)).cast("int"))
+    # an entity that a third of all texts have meets them under many salts; of these only such as it occurs under
+    names = uses.select("kind", "norm", "_u").distinct().join(named(uses.select("kind", "norm").distinct(), key), ["kind", "norm"])
+    maps = uses.join(names, ["kind", "norm", "_u"]).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(":"), "norm"), "surrogate"))).alias("_m"))
     maps = maps.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in frame.columns if c != text], F.lit(3)), F.lit(SALTS)).cast("int")
     changed = some.withColumn("_s", salt).join(maps, ["_k", "_s"]).withColumn("_n", F.size("_e").cast("long")).withColumn(text, replaced(F.col(text), F.col("_m")))
@@ -260,7 +281,10 @@ def with_surrogates(frame: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def protect(docs: DataFrame, doc_id: str, text: str, key: str) -> DataFrame:
-    """Per row: doc_id, text with surrogates, n_entities (distinct ones). A null text stays null, an empty one empty."""
+    """Per row: doc_id, text with surrogates, n_entities (distinct ones). A null text stays null, an empty one empty.
+
+    Repeated rows stay repeated, with the same text. Of entities that tie for a surrogate the first by norm has it, then by kind. An
+    empty table gives an empty one."""
     plain = pick(docs, doc_id, text).toDF("doc_id", "text")
     return with_surrogates(plain, "text", key).select("doc_id", "text", F.col("_n").alias("n_entities"))
 
