@@ -111,6 +111,52 @@ def test_secret_structures():
     assert not secrets.confirmed_spans(token[:-1] + " " + web(b"x" * 60) + " " + "ab" * 40)
 
 
+def rsa_key():
+    p, q = (1 << 521) - 1, (1 << 607) - 1
+    return der(0x30, integer(0) + b"".join(map(integer, (p * q, 65537, 3, p, q, 5, 7, 11))))
+
+
+@pytest.mark.parametrize("form", ["escaped", "encrypted", "wrapped", "glued", "odd hex", "mixed hex", "two"])
+def test_secret_forms(form):
+    import base64
+    import json
+
+    key = rsa_key()
+    b64, lines = base64.b64encode(key).decode(), base64.encodebytes(key).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}-----END RSA PRIVATE KEY-----"
+    fields = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n"
+    locked = pem.replace(lines, fields + base64.encodebytes(b"z" * 160).decode())
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(key.hex()))
+    before, secret, after, kind = {
+        "escaped": ('{"k": "', json.dumps(pem)[1:-1], '"}', "der"),
+        "encrypted": ("x ", locked, "\n", "pem"),
+        "wrapped": ("see\n", lines.rstrip("\n"), "\nand more", "der"),
+        "glued": ("data/", b64, " tail", "der"),
+        "odd hex": ("a", key.hex(), "bc", "der"),
+        "mixed hex": (" ", mixed, " ", "der"),
+        "two": ("", b64, f" {lines[:100]}", "der"),
+    }[form]
+    got = secrets.confirmed_spans(before + secret + after)
+    assert [(k, (before + secret + after)[a:b]) for a, b, k in got] == [(kind, secret)]
+    if form == "encrypted":  # an initial vector of another length
+        assert not secrets.confirmed_spans(locked.replace("AES-128-CBC,0A", "AES-128-CBC,0"))
+
+
+def test_secrets_take_linear_time():
+    import base64
+    import json
+    import time
+
+    web = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    token = ".".join((web(json.dumps({"alg": "HS256"}).encode()), web(b'{"sub":1}'), web(b"s" * 32)))
+    took = []
+    for n in (5000, 40_000):
+        start = time.process_time()
+        assert len(secrets.confirmed_spans(" ".join([token] * n))) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0]  # eight times the text; were it quadratic, 64 times the work
+
+
 # --- 3
 
 def test_brown_base_and_gain(spark, small):
@@ -147,7 +193,7 @@ def test_exchange_never_lowers_the_likelihood_and_finds_classes():
     seq = [0]
     for _ in range(20_000):
         seq.append(int(rng.choice(np.nonzero(truth == rng.choice(5, p=chain[truth[seq[-1]]]))[0])))
-    state = brown.Classes([str(i).encode() for i in range(60)], np.bincount(seq, minlength=60).tolist(), 5, 1)
+    state = brown.Classes([str(i).encode() for i in range(60)], np.bincount(seq, minlength=60).tolist(), 5)
     state.of_code[:60] = rng.integers(0, 5, 60)
     pairs = np.zeros((62, 62))
     np.add.at(pairs, (seq[:-1], seq[1:]), 1)
@@ -156,7 +202,7 @@ def test_exchange_never_lowers_the_likelihood_and_finds_classes():
         now = brown.likelihood(brown.class_pairs(state, pairs))
         assert now >= before - 1e-6
         before, rounds = now, rounds + 1
-    ideal = brown.Classes(state.moved, state.counts.tolist(), 5, 1)
+    ideal = brown.Classes(state.moved, state.counts.tolist(), 5)
     assert before >= brown.likelihood(brown.class_pairs(ideal, pairs)) - 200
 
 
@@ -532,22 +578,104 @@ def test_fold_is_crc32_of_the_id(spark):
 
 def test_brown_exchange_covers_words_below_the_first(spark):
     rng = random.Random(3)
-    kinds = [[f"{c}{i}xx" for i in range(40)] for c in "pq"]  # one ending; what stands before tells them apart
+    kinds = [[f"{c}{i}xx" for i in range(40)] for c in "pq"]  # what stands before tells them apart
     texts = [" ".join(x for _ in range(10) for f, some in [rng.choice(list(zip("ab", kinds)))] for x in (f, rng.choice([some[0], rng.choice(some)]))) for _ in range(300)]
-    docs = brown.blocked(spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean"))
-    table = written(brown.block_counts(docs), "block-words")
-    vocabulary = table.groupBy("word").agg(F.sum("n").alias("c"))
-    words_ = brown.frequent(vocabulary, 4)
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    blocks = brown.coded(docs, 5000)
+    assert blocks.count() > 4
+    lexicon = blocks.select("block", F.explode(F.arrays_zip("words", "ns")).alias("x")).select("block", F.col("x.words").alias("word"), F.col("x.ns").alias("n"))
+    words_ = brown.frequent(lexicon, 4)
     assert {w for w, _ in words_} == {b"a", b"b", b"p0xx", b"q0xx"}
     state = brown.Classes([w for w, _ in words_], [c for _, c in words_], 4)
-    classed, pairs = brown.exchanged_tail(docs, table, vocabulary, state)
-    of = {r["word"]: r["k"] for r in classed.collect()}
-    by = [collections.Counter(of[w] for w in some if w in of) for some in kinds]
-    assert not set(by[0]) & set(by[1]), by  # one class for all before
-    start, counts = brown.exchanged_tail(docs, table, vocabulary, state, rounds=0)
-    assert len({r["k"] for r in start.where("not first").collect()}) == 1 and brown.likelihood(pairs) > brown.likelihood(counts)
-    want = collections.Counter()
-    for t in texts:
-        k = [of[w] for w in ["", *t.split(), ""]]
-        want.update(zip(k, k[1:]))
-    assert {(a, b): pairs[a, b] for a, b in zip(*np.nonzero(pairs))} == want
+    pairs = brown.class_pairs(state, brown.code_pairs(blocks, state))
+    want = collections.Counter(w for t in texts for w in t.split())
+    for together in (20_000, 7):  # a word's rows may come in several parts
+        found = brown.tail_classes(brown.neighbours(blocks, state), state, pairs, together).collect()
+        assert {r["word"]: r["c"] for r in found} == {w: c for w, c in want.items() if w.encode() not in dict(words_)}
+        of = {r["word"]: r["k"] for r in found}
+        by = [collections.Counter(of[w] for w in some if w in of) for some in kinds]
+        assert all(c.most_common(1)[0][1] >= 0.9 * sum(c.values()) for c in by) and by[0].most_common(1)[0][0] != by[1].most_common(1)[0][0]
+
+
+def test_brown_frequent_words_of_one_count(spark):
+    lexicon = spark.createDataFrame([(f"w{i:03}", 5) for i in range(50)] + [("once", 1), ("more", 9)], "word string, n int")
+    assert [w for w, _ in brown.frequent(lexicon, 10)] == [b"more", *(f"w{i:03}".encode() for i in range(9))]
+
+
+def brute_brown(texts, held, classes, clustered, rounds):
+    """The same model from plain counts; only the two gain formulas are the operator's own."""
+    learn = {d: words(t) for d, t in texts.items() if not held[d]}
+    c = collections.Counter(w for x in learn.values() for w in x)
+    first = [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n > 1][:clustered]
+    code = {w: i for i, w in enumerate(first)}
+    tail, end = len(first), len(first) + 1
+    state = brown.Classes(first, [c[w] for w in first], classes)
+    pairs = np.zeros((end + 1, end + 1))
+    for x in learn.values():
+        k = [end, *(code.get(w, tail) for w in x), end]
+        for a, b in zip(k, k[1:], strict=False):
+            pairs[a, b] += 1
+    for _ in range(rounds):
+        if not brown.exchange(state, pairs):
+            break
+    total, start = state.total, state.of_code
+    beside = collections.defaultdict(collections.Counter)
+    for x in learn.values():
+        k = [start[end], *(start[code.get(w, tail)] for w in x), start[end]]
+        for i, w in enumerate(x, 1):
+            if w not in code:
+                beside[w][int(k[i + 1])] += 1
+                beside[w][total + int(k[i - 1])] += 1
+    of = {w: int(start[i]) for w, i in code.items()}
+    now = brown.class_pairs(state, pairs)
+    for w, some in beside.items():
+        keys = np.array(sorted(some))
+        of[w] = int(brown.best_classes(np.zeros(len(keys), np.int64), keys, np.array([some[k] for k in keys.tolist()], float), np.array([total - 2]), now)[0])
+    steps = np.full((total, total), 0.1)
+    for x in learn.values():
+        k = [total - 1, *(of[w] for w in x), total - 1]
+        for a, b in zip(k, k[1:], strict=False):
+            steps[a, b] += 1
+    size, kinds = collections.Counter(), collections.Counter()
+    for w, k in of.items():
+        size[k] += c[w]
+        kinds[k] += 1
+    room = {k: size[k] + 0.1 * (kinds[k] + 1) for k in range(total - 1)}
+    any_ = steps.sum(axis=0) - 0.1 * total + 0.1
+
+    def step(before, w):
+        row = any_ if before is None else steps[before]
+        row = row / row.sum()
+        if w is None:
+            return row[total - 1]
+        if w in of:
+            return row[of[w]] * (c[w] + 0.1) / room[of[w]]
+        return sum(row[k] * 0.1 / room[k] for k in range(total - 1))
+
+    def score(t):
+        before, out = total - 1, 0.0
+        for w in [*words(t), None]:
+            out += math.log10(step(before, w))
+            before = of.get(w)
+        return out
+
+    return score, step, of
+
+
+def test_brown_scores_by_plain_counts(spark, small):
+    texts = dict(rows_of(small, "doc_id", "text"))
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
+    score, step, of = brute_brown(texts, held, 8, 50, 3)
+    out = brown.scores(small, "doc_id", "text", fold(F.col("doc_id"), 10) == 0, classes=8, clustered=50, rounds=3, block_bytes=100_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # another split of the input between plan and action changes nothing
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = {r["doc_id"]: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for d, t in texts.items():
+        assert got[d]["score"] == pytest.approx(score(t), rel=1e-6), d
+    assert len(set(of.values())) > 4
+    for k in (0, 3, None):  # all words, the unseen one and the end sum to one
+        assert sum(step(k, w) for w in of) + step(k, b"\xff no such word") + step(k, None) == pytest.approx(1)
+

@@ -1,74 +1,45 @@
 """Class-based n-gram scores: P(w | before) = P(class(w) | class(before)) P(w | class(w)).
 
-Classes are found by exchange, for every word of the training documents. The ``CLUSTERED`` most frequent words come first and
-one at a time: each moves to the class that raises the likelihood of the class bigrams most, until none moves. All other
-training words start in the class of their ending and move in rounds, all at once: each by the counts of its neighbours' classes
-over all training documents, to the best of all classes; a round that lowers the likelihood is undone. Words that
-only held-out documents have belong to the class that most training words of their ending are in. Nothing that grows with the
-vocabulary is broadcast or collected: counts and classes of words are looked up by joins, block by block."""
+Classes are found by exchange, for every word of the training documents. The ``CLUSTERED`` most frequent words move one at a time,
+each to the class that raises the likelihood of the class bigrams most, until none moves; all others are one class, the tail,
+meanwhile. Then each word of the tail is exchanged in turn: by the counts of its own neighbours' classes over all
+training documents it moves to the best of all classes, or stays. Words that no training document has belong to no
+class: their probability is the sum over all classes of what each leaves for new words.
+
+Texts are read once: words are numbered block by block, and a block's numbers and words are written as one row, so that no change
+of partitioning can part them. Nothing that grows with the vocabulary is broadcast or collected. A word outside
+the broadcast ones has at most one in ``CLUSTERED`` of all tokens, so no key of a shuffle is hot; what is
+known of its neighbours is summed in a stream of sorted rows, never held as a group."""
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_bytes, column_list, pick, written
+from tidemark.llm.common import column_bytes, column_list, forget, pick, swept, written
 
-CLASSES, ENDINGS, CLUSTERED, ROUNDS = 48, 15, 2000, 20
-#: Rounds, at most, in which all words below the first ones move.
-TAIL_ROUNDS = 2
+CLASSES, CLUSTERED, ROUNDS = 60, 2000, 20
 ADD, ADD_CLASS = 0.1, 0.1
-#: Bytes of text whose words are looked up together.
-BLOCK_BYTES = 24_000_000
-END = b""  # no word is empty
+#: Bytes of text whose words are numbered together.
+BLOCK_BYTES = 8_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def ending(word: bytes, endings: int = ENDINGS) -> int:
-    """The class in which a word that is not among the most frequent starts: by its last two characters."""
-    return zlib.crc32(word.decode()[-2:].encode()) % endings
-
-
-class Codes(dict):
-    """Word to code: its number if exchange moves it, else a code by its ending. Holds what it was asked, up to a bound."""
-
-    def __init__(self, moved: list[bytes], endings: int):
-        super().__init__((w, i) for i, w in enumerate(moved))
-        self.first, self.endings = len(moved), endings
-        self.moved = moved
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.first + 500_000:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.moved))
-        code = self[word] = self.first + ending(word, self.endings)
-        return code
-
-    def of(self, words: list[bytes]) -> list[int]:
-        return list(map(self.__getitem__, words))
-
-
 class Classes:
-    """Which class each code has. Exchange classes come first, then endings, then that of the end token."""
+    """Which class each code has. Codes: the frequent words in turn, the tail, the end. Classes: those of exchange, the tail, the end."""
 
-    def __init__(self, moved: list[bytes], counts: list[int], classes: int = CLASSES, endings: int = ENDINGS):
+    def __init__(self, moved: list[bytes], counts: list[int], classes: int = CLASSES):
         self.moved, self.counts = moved, np.array(counts, np.float64)
-        self.classes, self.endings = classes, endings
-        self.total = classes + endings + 1
-        #: of code: frequent words in turn, then endings, then the end
-        self.of_code = np.concatenate([np.arange(len(moved)) % classes, classes + np.arange(endings + 1)]).astype(np.int64)
-
-    @property
-    def end_code(self) -> int:
-        return len(self.moved) + self.endings
+        self.classes, self.total = classes, classes + 2
+        self.of_code = np.concatenate([np.arange(len(moved)) % classes, classes + np.arange(2)]).astype(np.int64)
 
 
 def entropy(x: np.ndarray) -> np.ndarray:
@@ -122,311 +93,337 @@ def exchange(state: Classes, pairs: np.ndarray) -> int:
     return moved
 
 
-def code_pairs(docs: DataFrame, text: str, state: Classes) -> np.ndarray:
-    """How often each code follows each other one, over all the documents given; a document starts after an end.
+def packed(codes: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, of which the upper ones compress well."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def coded(plain: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per block of about ``block_bytes`` of text: the words, numbered; their counts ``ns`` in the block's training documents; and
+    per document its id, whether it is held out, its length in words, and (all in ``codes``) its words' numbers. Written, so that
+    blocks stay as they are."""
+    kind = plain.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block, number, held, size = TaskContext.get().partitionId() << 32, defaultdict(count().__next__), [], 0
+
+        def emit():
+            of = {True: [], False: []}
+            for _, out, codes in held:
+                of[out].append(codes)
+            ns = np.bincount(np.concatenate([*of[False], np.zeros(0, np.int64)]).astype(np.int64), minlength=len(number))
+            one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
+            words = pa.array(list(number), pa.binary()).cast(pa.string())
+            codes = packed(np.concatenate([*(c for *_, c in held), np.zeros(0, np.uint32)]))
+            columns = [pa.array([block], pa.int64()), one([i for i, *_ in held], kind_of_id), one([bool(h) for _, h, _ in held], pa.bool_()), one([len(c) for *_, c in held], pa.int32()), pa.array([codes], pa.binary()), one(words, None), one(ns, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "held", "lens", "codes", "words", "ns"])
+
+        for b in batches:
+            kind_of_id = b.schema.field(0).type
+            for i, t, out in zip(column_list(b, "doc_id"), column_bytes(b, "text"), column_list(b, "held_out"), strict=True):
+                words = tokens_of(t)
+                held.append((i, bool(out), np.fromiter(map(number.__getitem__, words), np.uint32, len(words))))
+                size += len(t or b"") + 100
+                if size >= block_bytes:
+                    yield emit()
+                    block, number, held, size = block + 1, defaultdict(count().__next__), [], 0
+        if held:
+            yield emit()
+
+    rows = plain.select("doc_id", "text", "held_out").mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lens array<int>, codes binary, words array<string>, ns array<int>")
+    return written(rows, "coded", **{"parquet.block.size": 4 * block_bytes})
+
+
+def frequent(lexicon: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words of the highest counts with theirs, the first by bytes of equal counts; a word must occur twice. Bounded."""
+    words = lexicon.groupBy("word").agg(F.sum("n").alias("c")).where("c > 1")
+    found = words.orderBy(F.desc("c"), "word").limit(most).collect()
+    return sorted(((r["word"].encode(), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
+def sequences(batch, code_of: dict[bytes, int], other: int, end: int) -> Iterator[tuple]:
+    """Per block of the batch: its words, and of its training documents the words' numbers and codes in a row, each document between ends (numbered -1)."""
+    import pyarrow as pa
+
+    for k in range(batch.num_rows):
+        words = batch.column(batch.schema.get_field_index("words"))[k].values
+        lens = batch.column(batch.schema.get_field_index("lens"))[k].values.to_numpy()
+        held = batch.column(batch.schema.get_field_index("held"))[k].values.to_numpy(zero_copy_only=False)
+        numbers = unpacked(batch.column(batch.schema.get_field_index("codes"))[k].as_py())
+        numbers = np.insert(numbers, np.cumsum(lens), -1)  # an end behind each document
+        numbers = np.append(-1, numbers[np.repeat(~held, lens + 1)])
+        codes = np.fromiter((code_of.get(w, other) for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+        yield words, numbers, np.append(codes, end)[numbers]
+
+
+def code_pairs(blocks: DataFrame, state: Classes) -> np.ndarray:
+    """How often each code follows each other one, over all training documents; a document starts after an end.
 
     Each task sums its own counts and hands on those that aren't zero; these are summed by key, at most codes x codes of
     them, which is the model's size and not the corpus's."""
     codes = len(state.of_code)
-    sent = docs.sparkSession.sparkContext.broadcast((state.moved, state.endings))
+    sent = blocks.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(state.moved)})
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        moved, endings = sent.value
-        table, end = Codes(moved, endings), len(moved) + endings
         sums = np.zeros(codes * codes, np.int64)
-        held: list[int] = [end]
-
-        def add():
-            c = np.array(held, np.int64)
-            keys, n = np.unique(c[:-1] * codes + c[1:], return_counts=True)
-            sums[keys] += n
-            held[:] = [end]
-
         for b in batches:
-            for t in column_bytes(b, text):
-                held += table.of(tokens_of(t))
-                held.append(end)
-                if len(held) > 2_000_000:
-                    add()
-        add()
+            for _, _, c in sequences(b, sent.value, codes - 2, codes - 1):
+                keys, n = np.unique(c[:-1] * codes + c[1:], return_counts=True)
+                sums[keys] += n
         keys = np.nonzero(sums)[0]
         for at in range(0, len(keys), 100_000):
             some = keys[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["key", "n"])
 
-    found = docs.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.select("held", "lens", "codes", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(codes * codes)
     sums[found.column("key").to_numpy()] = found.column("n").to_numpy()
     sent.unpersist()
     return sums.reshape(codes, codes)
 
 
-def blocked(plain: DataFrame) -> DataFrame:
-    """The rows with a column ``block``: stretches of about BLOCK_BYTES of text of each of the input's partitions, in its order."""
-    schema = plain.withColumn("block", F.lit(0).cast("long")).schema
+def neighbours(blocks: DataFrame, state: Classes) -> DataFrame:
+    """Per block and word of the tail: ``keys`` and ``ns``, how often which class stands behind it (key: the class) and before it
+    (key: ``total`` and the class), in training documents."""
+    total, codes = state.total, len(state.of_code)
+    sent = blocks.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(state.moved)}, state.of_code))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
-            ends = size + np.cumsum(sizes, dtype=np.int64)
-            size = int(ends[-1]) if len(ends) else size
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block + (ends - sizes) // BLOCK_BYTES)], names=[*b.schema.names, "block"])
-
-    return plain.mapInArrow(run, schema)
-
-
-def block_counts(rows: DataFrame) -> DataFrame:
-    """Per block and word: ``n``, its count in the block's training documents (0 for words of held-out ones alone)."""
 
-    def run(batches: Iterator) -> Iterator:
-        counts: Counter = Counter()
-        seen: set = set()
-        now = None
+        code_of, of = sent.value
         for b in batches:
-            for t, held, block in zip(column_bytes(b, "text"), column_list(b, "held_out"), column_list(b, "block"), strict=True):
-                if block != now:
-                    yield from emit(now, counts, seen)
-                    counts, seen, now = Counter(), set(), block
-                if held:
-                    seen.update(tokens_of(t))
-                else:
-                    counts.update(tokens_of(t))
-                    counts[END] += 1
-        yield from emit(now, counts, seen)
-
-    def emit(block, counts, seen):
-        import pyarrow as pa
-
-        if block is None:
-            return
-        words = [*counts, *(w for w in seen if w not in counts)]
-        if END not in counts:
-            words.append(END)
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([counts.get(w, 0) for w in some], pa.int64())], names=["block", "word", "n"])
-
-    return rows.mapInArrow(run, "block long, word string, n long")
-
-
-def frequent(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The ``most`` words of the highest counts with theirs, the first by bytes of equal counts; a word must occur twice. Bounded."""
-    found = vocabulary.where("word <> '' and c > 1").orderBy(F.desc("c"), "word").limit(most).collect()
-    return sorted(((r["word"].encode(), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
+            for words, number, c in sequences(b, code_of, codes - 2, codes - 1):
+                k = of[c]
+                at = np.nonzero(c == codes - 2)[0]
+                keys, n = np.unique(np.concatenate([number[at] * (2 * total) + k[at + 1], number[at] * (2 * total) + total + k[at - 1]]), return_counts=True)
+                ids, starts = np.unique(keys // (2 * total), return_index=True)
+                for i in range(0, len(ids), 20_000):
+                    some = np.append(starts, len(keys))[i : i + 20_001]
+                    lists = [pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(x[some[0] : some[-1]], t)) for x, t in ((keys % (2 * total), pa.int16()), (n, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(ids[i : i + 20_000])), *lists], names=["word", "keys", "ns"])
 
-
-def neighbours(rows: DataFrame, known: DataFrame, total: int, words: bool = True) -> DataFrame:
-    """Per block and word that is not ``first``: ``keys`` and ``ns``, how often which class stands behind it (key: the class) and
-    before it (key: ``total`` and the class). The word '' has the counts of class bigrams (key: left * ``total`` + right)
-    of the whole block. ``rows``: block, text. ``known``: block, word, k, first."""
-
-    def run(left, right):
-        import pyarrow as pa
-
-        names = right.column("word").cast(pa.binary()).to_pylist()
-        at = {w: i for i, w in enumerate(names)}
-        k, tail = right.column("k").to_numpy().astype(np.int64), ~right.column("first").to_numpy(zero_copy_only=False)
-        end = at.get(END, -1)
-        sums, some = np.zeros(total * total, np.int64), []
-        held: list[int] = [end]
-
-        def add():
-            c = np.array(held, np.int64)
-            held[:] = [end]
-            a, b = c[:-1], c[1:]
-            sums[:] += np.bincount(k[a] * total + k[b], minlength=total * total)
-            if words:
-                keys = np.concatenate([a[tail[a]] * (2 * total) + k[b[tail[a]]], b[tail[b]] * (2 * total) + total + k[a[tail[b]]]])
-                some.append(np.unique(keys, return_counts=True))
-
-        for t in left.column("text").cast(pa.binary()).to_pylist():
-            held += map(at.__getitem__, tokens_of(t))
-            held.append(end)
-            if len(held) > 1_000_000:
-                add()
-        add()
-        there = np.nonzero(sums)[0]
-        lists = [(pa.array([""]), np.array([0, len(there)]), there, sums[there])]
-        if words:
-            keys, where = np.unique(np.concatenate([x for x, _ in some]), return_inverse=True)
-            ns = np.bincount(where, np.concatenate([n for _, n in some]), len(keys)).astype(np.int64)
-            ids, starts = np.unique(keys // (2 * total), return_index=True)
-            lists.append((right.column("word").combine_chunks().take(pa.array(ids)), np.append(starts, len(keys)), keys % (2 * total), ns))
-        array = lambda cuts, x: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32()))
-        return pa.concat_tables([pa.table({"word": w.cast(pa.string()), "keys": array(cuts, x), "ns": array(cuts, n)}) for w, cuts, x, n in lists])
-
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "word string, keys array<int>, ns array<int>")
+    return blocks.select("held", "lens", "codes", "words").mapInArrow(run, "word string, keys array<smallint>, ns array<int>")
 
 
 def best_classes(row: np.ndarray, key: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The best class of each word, by class bigram counts as they are now; ``of``: the words' present classes.
 
-    ``row``, ``key``, ``n``: the words' counts of neighbours, with keys as by ``neighbours``. A word leaves its class for a gain above
-    log(classes), the cost of stating its class: without that, words seen once or twice fit the training documents alone.
-    The last class, the end's, takes no words."""
+    ``row``, ``key``, ``n``: the words' counts of neighbours, with keys as by ``neighbours``, each once. A word moves for a gain;
+    of equal ones the first class has it. The last class, the end's, takes no words."""
     total, words = len(pairs), len(of)
-    cells, where = np.unique(row * (2 * total) + key, return_inverse=True)
-    n = np.bincount(where, n, len(cells))
-    row, key = cells // (2 * total), cells % (2 * total)
     f, both = entropy, np.concatenate([pairs.T, pairs])  # by key: a count for each class
-    combos, one = np.unique(np.stack([key, n.astype(np.int64)]), axis=1, return_inverse=True)
-    one = one.reshape(-1)
-    up = f(both[combos[0]] + combos[1][:, None]) - f(both[combos[0]])
+    combos, one = np.unique(key * (1 << 32) + np.minimum(n, (1 << 32) - 1).astype(np.int64), return_inverse=True)
+    count = (combos & 0xFFFFFFFF).astype(np.float64)[:, None]
+    up = f(both[combos >> 32] + count) - f(both[combos >> 32])
     gain = np.zeros((words, total))
     starts = np.nonzero(np.diff(row, prepend=-1))[0]
-    gain[row[starts]] = np.add.reduceat(up[one], starts, axis=0)
+    gain[row[starts]] = np.add.reduceat(up[one.reshape(-1)], starts, axis=0)
     # a word's own class: what it has now against what would be left
     mine = both[key, of[row]]
     stay = np.bincount(row, f(mine) - f(np.maximum(mine - n, 0)), words)
     behind = key < total
     own = np.arange(words)
     for counts, sums in ((np.bincount(row[behind], n[behind], words), pairs.sum(axis=1)), (np.bincount(row[~behind], n[~behind], words), pairs.sum(axis=0))):
-        gain -= f(sums[None, :] + counts[:, None]) - f(sums)[None, :]
+        kinds, which = np.unique(counts, return_inverse=True)
+        gain -= (f(sums[None, :] + kinds[:, None]) - f(sums)[None, :])[which]
         stay -= f(sums[of]) - f(np.maximum(sums[of] - counts, 0))
     # all words would pick the same empty class at once, and be no wiser
     gain[:, (pairs.sum(axis=1) + pairs.sum(axis=0)) == 0] = -np.inf
     gain[:, -1] = -np.inf
     gain[own, of] = stay
     best = gain.argmax(axis=1)
-    return np.where(gain[own, best] > stay + np.log(total), best, of)
+    return np.where(gain[own, best] > stay + 1e-9, best, of)
 
 
-def moved_words(classed: DataFrame, found: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """The words with their best classes, by the counts of their neighbours' classes."""
-    sent = classed.sparkSession.sparkContext.broadcast(pairs)
-    counts = found.where("word <> ''").groupBy("word").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("ns")).alias("ns"))
-    joined = classed.join(counts, "word", "left").select("word", "c", "first", "k", "keys", "ns")
+def tail_classes(found: DataFrame, state: Classes, pairs: np.ndarray, together: int = 20_000) -> DataFrame:
+    """Per word of the tail: its count ``c`` and best class ``k``. ``found``: word, keys, ns, as by ``neighbours``.
+
+    Rows come sorted by word and are summed as they come: of one word, however many rows it has, only its sums are held."""
+    total = state.total
+    sent = found.sparkSession.sparkContext.broadcast(pairs)
+    rows = found.repartition("word").sortWithinPartitions("word")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in batches:
-            k = b.column(3).to_numpy().astype(np.int64)
-            keys, ns = b.column(4), b.column(5)
-            row = pc.list_parent_indices(keys).to_numpy().astype(np.int64)
-            if len(row):
-                k = best_classes(row, keys.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(np.float64), k, sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(k, pa.int32())], names=["word", "c", "first", "k"])
+        def tables() -> Iterator:
+            some, n = [], 0
+            for b in batches:
+                some.append(b)
+                n += b.num_rows
+                if n >= together:
+                    yield pa.Table.from_batches(some).combine_chunks()
+                    some, n = [], 0
+            if some:
+                yield pa.Table.from_batches(some).combine_chunks()
+
+        def classed(words, row, key, n):
+            k = best_classes(row, key, n, np.full(len(words), total - 2), sent.value)
+            c = np.bincount(row[key < total], n[key < total], len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([words, pa.array(c), pa.array(k, pa.int32())], names=["word", "c", "k"])
+
+        last, last_cells, last_n = None, np.zeros(0, np.int64), np.zeros(0)
+        for t in tables():
+            words = t.column("word").combine_chunks()
+            keys, ns = (t.column(x).combine_chunks() for x in ("keys", "ns"))
+            lens = pc.list_value_length(keys).to_numpy().astype(np.int64)
+            first = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, bool)
+            start = np.nonzero(first)[0]
+            row = np.repeat(np.cumsum(first) - 1, lens)
+            cells, n = row * (2 * total) + keys.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(np.float64)
+            names = words.take(pa.array(start))
+            if last is not None:
+                if last.as_py() == names[0].as_py():
+                    cells, n = np.concatenate([last_cells, cells]), np.concatenate([last_n, n])
+                else:
+                    cells, n = np.concatenate([last_cells, cells + 2 * total]), np.concatenate([last_n, n])
+                    names = pa.concat_arrays([pa.array([last.as_py()], names.type), names])
+            cells, where = np.unique(cells, return_inverse=True)
+            n = np.bincount(where.reshape(-1), n, len(cells))
+            row, key = cells // (2 * total), cells % (2 * total)
+            done = row < len(names) - 1
+            if len(names) > 1:
+                yield classed(names[:-1], row[done], key[done], n[done])
+            last, last_cells, last_n = names[-1], key[~done], n[~done]
+        if last is not None:
+            yield classed(pa.array([last.as_py()], pa.string()), np.zeros(len(last_cells), np.int64), last_cells, last_n)
+
+    return rows.mapInArrow(run, "word string, c long, k int")
+
+
+def classed_documents(blocks: DataFrame, classes: DataFrame, lexicon: DataFrame, unseen: int, n: int, v: int, ends_learned: int) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, base_score, ``own`` (the sum over known words of log10(c + ADD)), and
+    ``ks``, a byte per word, its class (``unseen``: none)."""
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    base = float(np.log10(n + ADD * (v + 1)))
+    known = lexicon.select("block", "at", "word").join(classes, "word").select(F.col("block").alias("b"), "at", "c", "k")
 
-    return joined.mapInArrow(run, "word string, c long, first boolean, k int")
+    def run(left, right):
+        import pyarrow as pa
+
+        numbers = unpacked(left.column("codes")[0].as_py())
+        lens = left.column("lens")[0].values.to_numpy()
+        size = int(numbers.max()) + 1 if len(numbers) else 0
+        at = right.column("at").to_numpy()
+        c_of, k_of = np.zeros(size), np.full(size, unseen, np.uint8)
+        c_of[at], k_of[at] = right.column("c").to_numpy(), right.column("k").to_numpy()
+        ends = np.cumsum(lens)
+        doc = np.repeat(np.arange(len(lens)), lens)
+        there, own = (c_of > 0)[numbers], np.log10(c_of + ADD)[numbers]
+        n_known = np.bincount(doc, there, len(lens)).astype(np.int64)
+        plain = np.bincount(doc, own, len(lens)).astype(np.float64) + np.log10(ends_learned + ADD)
+        ks = k_of[numbers].tobytes()
+        return pa.table({
+            "doc_id": left.column("ids")[0].values, "held_out": left.column("held")[0].values, "n_tokens": pa.array(lens + 1, pa.int64()), "n_known": n_known + (ends_learned > 0),
+            "base_score": plain - base * (lens + 1), "own": np.bincount(doc, own * there, len(lens)).astype(np.float64), "ks": pa.array([ks[e - m : e] for e, m in zip(ends.tolist(), lens.tolist(), strict=True)], pa.binary()),
+        })
+
+    rows = blocks.select("block", "ids", "held", "lens", "codes")
+    return rows.groupBy("block").cogroup(known.groupBy("b")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, own double, ks binary")
+
+
+def class_bigrams(documents: DataFrame, total: int) -> np.ndarray:
+    """Counts of class bigrams in the documents (column ``ks``), each between two ends (class ``total`` - 1)."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums = np.zeros(total * total, np.int64)
+        for b in batches:
+            k = chained(column_list(b, "ks"), total - 1)
+            sums += np.bincount(k[:-1] * total + k[1:], minlength=total * total)
+        keys = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], names=["key", "n"])
 
-def class_table(found: DataFrame, total: int) -> np.ndarray:
-    """The class bigram counts that ``neighbours`` found."""
     sums = np.zeros(total * total)
-    pairs = found.where("word = ''").select(F.explode(F.arrays_zip("keys", "ns")).alias("x")).groupBy("x.keys").agg(F.sum("x.ns"))
-    for key, n in pairs.collect():  # classes squared at most
+    for key, n in documents.select("ks").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # classes squared at most
         sums[key] = n
     return sums.reshape(total, total)
 
 
-def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: int = CLASSES, clustered: int = CLUSTERED, rounds: int = ROUNDS) -> DataFrame:
+def chained(ks: list[bytes], end: int) -> np.ndarray:
+    """The documents' classes in a row, an end before each and behind the last."""
+    mark = bytes([end])
+    return np.frombuffer(mark + b"".join(x + mark for x in ks), np.uint8).astype(np.int64)
+
+
+def log_steps(pairs: np.ndarray, size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """By class before and class: log10 of what the step contributes to a text's probability, but for a known word's own log10(c + ADD).
+
+    One more row and column than classes: those of words without a class. What follows such a word is as after any; such a
+    word itself is what each class leaves for new words, over all classes."""
+    total = len(pairs)
+    before = np.vstack([pairs, pairs.sum(axis=0)]) + ADD_CLASS
+    step = before / before.sum(axis=1, keepdims=True)
+    room = size + ADD * (kinds + 1)
+    room[-1] = 1  # an end's class has nothing but ends
+    new = step[:, :-1] @ (ADD / room[:-1])
+    return np.log10(np.hstack([step / room, new[:, None]])).reshape(total + 1, total + 1)
+
+
+def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: int = CLASSES, clustered: int = CLUSTERED, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     ``score`` is the class model's log10 probability of the text and its end, ``base_score`` that of smoothed word
     frequencies, ``perplexity`` 10 to the -score / n_tokens. Learns from the rows that are not held out. A null text is empty:
-    its end is its one token. With nothing to learn from, every token has the unseen word's
-    probability. Repeated rows stay repeated."""
+    its end is its one token. With nothing to learn from, all classes are equally likely and every word is new to each.
+    Words of equal counts are taken by their bytes; of classes of equal gain the first is. Repeated rows stay
+    repeated, with the same scores. An empty table gives an empty one."""
     plain = pick(docs, doc_id, text).toDF("doc_id", "text").withColumn("held_out", held_out)
-    rows = blocked(plain)
-    table = written(block_counts(rows), "block-words")
-    vocabulary = written(table.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    sums = vocabulary.where("c > 0").agg(F.sum("c"), F.count("*")).first()
-    n, v = int(sums[0] or 0), int(sums[1])
-    words = frequent(vocabulary, clustered)
+    spark = docs.sparkSession
+    blocks = coded(plain, block_bytes)
+    learned = F.zip_with("held", "lens", lambda h, n: F.when(h, F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("n"))).otherwise(F.struct(F.lit(1).alias("d"), (n + 1).cast("long").alias("n"))))
+    sums = blocks.select(F.explode(learned).alias("x")).agg(F.sum("x.d"), F.sum("x.n")).first()
+    ends, n = int(sums[0] or 0), int(sums[1] or 0)
+    lexicon = blocks.select("block", "ns", F.posexplode("words").alias("at", "word")).withColumn("n", F.get("ns", F.col("at")))
+    words = frequent(lexicon, clustered)
     state = Classes([w for w, _ in words], [c for _, c in words], classes)
-    training = plain.where(~F.col("held_out")).select("text")
-    counts = code_pairs(training, "text", state)
+    counts = code_pairs(blocks, state)
     for _ in range(rounds):
         if not exchange(state, counts):
             break
-    classed, pairs = exchanged_tail(rows, table, vocabulary, state)
-    transitions = np.log10((pairs + ADD_CLASS) / (pairs.sum(axis=1, keepdims=True) + ADD_CLASS * state.total))
-    # how many words and tokens each class has
+    tail = tail_classes(neighbours(blocks, state), state, class_pairs(state, counts))
+    first = spark.createDataFrame([(w.decode(), c, int(k)) for (w, c), k in zip(words, state.of_code, strict=False)], "word string, c long, k int")
+    found = written(tail.unionByName(first), "classes")
+    swept(spark)
     size, kinds = np.zeros(state.total), np.zeros(state.total)
-    for r in classed.where("c > 0").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+    for r in found.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         size[r["k"]], kinds[r["k"]] = r["c"], r["n"]
-    sent = docs.sparkSession.sparkContext.broadcast((transitions, np.log10(size + ADD * (kinds + 1)), state.total - 1))
-    # words that are new belong where most training words of their ending are
-    most: dict = {}
-    for r in classed.where("c > 0 and not first and word <> ''").groupBy(last_class(state).alias("e"), "k").count().collect():
-        most[r["e"]] = max(most.get(r["e"], (0, 0)), (r["count"], -r["k"]))
-    new = F.array(*[F.lit(-most[e][1] if e in most else e) for e in range(classes, state.total - 1)])
-    placed = classed.withColumn("k", F.when((F.col("c") > 0) | (F.col("word") == ""), F.col("k")).otherwise(F.get(new, last_class(state) - classes)))
-    known = table.select("block", "word").join(placed, "word").select("block", "word", "c", "k")
-    return _scored(rows, known, sent, n, v)
-
-
-def last_class(state: Classes) -> Column:
-    return (F.crc32(F.substring("word", -2, 2).cast("binary")) % F.lit(state.endings) + F.lit(state.classes)).cast("int")
-
-
-def exchanged_tail(rows: DataFrame, table: DataFrame, vocabulary: DataFrame, state: Classes, rounds: int = TAIL_ROUNDS) -> tuple[DataFrame, np.ndarray]:
-    """All words (word, c, first, k) with their classes, and the counts of class bigrams. The first words keep those exchange gave them."""
-    spark, total = rows.sparkSession, state.total
-    first = spark.createDataFrame([(w.decode(), int(k)) for w, k in zip(state.moved, state.of_code, strict=False)], "word string, _k int")
-    start = F.when(F.col("word") == "", F.lit(total - 1)).otherwise(F.coalesce("_k", last_class(state)))
-    classed = vocabulary.join(F.broadcast(first), "word", "left").select("word", "c", (F.col("_k").isNotNull() | (F.col("word") == "")).alias("first"), start.alias("k"))
-    classed = written(classed, "classes")
-    training, there = rows.where(~F.col("held_out")).select("block", "text"), table.where("n > 0 or word = ''").select("block", "word")
-    kept = None
-    for turn in range(rounds + 1):
-        known = there.join(classed.select("word", "k", "first"), "word").select("block", "word", "k", "first")
-        found = written(neighbours(training, known, total, turn < rounds), "neighbours")
-        pairs = class_table(found, total)
-        if kept is not None and likelihood(pairs) < likelihood(kept[1]):
-            return kept
-        if kept is not None:
-            forget(kept[0])
-        kept = classed, pairs
-        swept(spark)
-        if turn < rounds:
-            classed = written(moved_words(classed, found, pairs), "classes")
-        forget(found)
-        swept(spark)
-    return kept
-
-
-def forget(table: DataFrame) -> None:
-    """Deletes a table that ``written`` made and nothing reads any more."""
-    for file in table.inputFiles()[:1]:
-        folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def swept(spark) -> None:
-    """Lets Spark's cleaner drop the shuffles of what is written by now: a pass over the texts is as much as the input."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def _scored(rows: DataFrame, known: DataFrame, sent, n: int, v: int) -> DataFrame:
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    base = float(np.log10(n + ADD * (v + 1)))
+    v = int(kinds.sum()) + (ends > 0)
+    kept = written(classed_documents(blocks, found, lexicon, state.total, n, v, ends), "classed-documents")
+    forget(blocks)
+    forget(found)
+    swept(spark)
+    steps = log_steps(class_bigrams(kept.where(~F.col("held_out")), state.total), size, kinds)
+    return _scored(kept, steps, n)
 
-    def score(left, right):
+
+def _scored(kept: DataFrame, steps: np.ndarray, n: int) -> DataFrame:
+    sent, end = kept.sparkSession.sparkContext.broadcast(steps), len(steps) - 2
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        transitions, weight, end = sent.value
-        at = {w: i for i, w in enumerate(right.column("word").cast(pa.binary()).to_pylist())}
-        count, of = right.column("c").to_numpy().astype(np.float64), right.column("k").to_numpy().astype(np.int64)
-        out: list[list] = [[], [], [], []]
-        for t in left.column("text").cast(pa.binary()).to_pylist():
-            words = np.array([*map(at.__getitem__, tokens_of(t)), at[END]], np.int64)  # a word that isn't there would be a lost row
-            c, k = count[words], np.append(end, of[words])
-            own = np.log10(c + ADD)
-            out[0].append(len(c))
-            out[1].append(int((c > 0).sum()))
-            out[2].append(float(own.sum() - base * len(c)))
-            out[3].append(float(transitions[k[:-1], k[1:]].sum() + own.sum() - weight[k[1:]].sum()))
-        length, found, plain, model = (np.array(x, t) for x, t in zip(out, (np.int64, np.int64, np.float64, np.float64), strict=True))
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": length, "n_known": found, "train_tokens": np.full(len(length), n, np.int64), "base_score": plain, "score": model, "perplexity": 10 ** (-model / np.maximum(length, 1))})
-
-    return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = chained(column_list(b, "ks"), end)
+            length = b.column(b.schema.get_field_index("n_tokens")).to_numpy()
+            score = np.add.reduceat(sent.value[k[:-1], k[1:]], np.cumsum(length) - length) + b.column(b.schema.get_field_index("own")).to_numpy()
+            columns = [b.column(b.schema.get_field_index(x)) for x in names[:4]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(length), n, np.int64)), b.column(b.schema.get_field_index("base_score")), pa.array(score), pa.array(10 ** (-score / length))], names=names)
+
+    return kept.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -3,8 +3,11 @@
 Base kinds are found by pattern alone: ``assign`` (a credential assigned to a name), ``access`` (cloud access key ids)
 and ``hex`` (long lower-case hex). The other kinds are candidates in base64 or hex that are decoded
 and parsed before they are reported: ``der`` (ASN.1 keys whose nested lengths fit to the byte:
-PKCS#1, PKCS#8, SEC 1, encrypted PKCS#8), ``openssh`` (the length-prefixed fields of an OpenSSH private key)
-and ``jwt`` (a token whose header and claims are JSON objects and whose signature has its algorithm's length)."""
+PKCS#1, PKCS#8, SEC 1, encrypted PKCS#8), ``openssh`` (the length-prefixed fields of an OpenSSH private key),
+``pem`` (a key under PEM's own encryption: its header fields, and a body of whole cipher blocks)
+and ``jwt`` (a token whose header and claims are JSON objects and whose signature has its algorithm's length).
+A key is found wherever it starts in a run of base64 or hex: its own outer length tells where it ends. Lines
+of base64 are joined, whether they are parted by line ends or by escaped ones."""
 
 from __future__ import annotations
 
@@ -13,7 +16,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -22,12 +27,19 @@ from tidemark.llm.common import column_list, pick
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]*)-----END \1-----")
+KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "pem")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[^-]++|-(?!----))*+)-----END \1-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: Runs that may hold an encoded key: base64 in one alphabet or the other, or hex of either case.
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
+#: Runs that may hold an encoded key: base64 in one alphabet or the other, over one line or more, or hex of any case.
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n[ \t]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]{4,})*={0,2}")
+BREAK = re.compile(r"\r?\n[ \t]*|(?:\\r)?\\n")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+#: How keys start: DER sequences in base64 and hex, and the magic of OpenSSH's.
+BASE64_START, HEX_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjE"), re.compile(r"(?=30|6f70656e7373682d6b65792d7631)", re.IGNORECASE)
+#: Bytes of a key at most, where it is not alone in its run (an RSA key of 16,384 bits has some 10,000).
+MOST_KEY = 1 << 16
+#: Block lengths in bytes of ciphers that PEM headers name, by the start of the name.
+CIPHER_BLOCKS = {"AES-": 16, "CAMELLIA-": 16, "ARIA-": 16, "SEED-": 16, "DES-": 8, "BF-": 8, "CAST5-": 8, "RC2-": 8, "IDEA-": 8}
 #: The content octets of object identifiers of public-key algorithms, as hex, and bytes of signatures by algorithm.
 KEY_ALGORITHMS = {
     "2a864886f70d010101": "rsa",
@@ -99,11 +111,11 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def openssh_key(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: magic, then length-prefixed fields that end with the data."""
+def openssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH private key that the bytes start with ends: magic, then length-prefixed fields; None if they are none."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, names = len(magic), []
 
     def field() -> bytes | None:
@@ -117,12 +129,69 @@ def openssh_key(data: bytes) -> bool:
     for _ in range(3):  # cipher, kdf, options
         names.append(field())
     if None in names or not names[0] or at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
+        return None
+    return at if all(field() is not None for _ in range(keys)) and field() else None
+
+
+def openssh_key(data: bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key and nothing more."""
+    end = openssh_end(data)
+    return end is not None and not data[end:].strip(b"\0\n")
+
+
+def der_end(head: bytes) -> int | None:
+    """Where the DER sequence that the bytes start with ends, if it starts as private keys do: with a version or an algorithm."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if k > 4 or len(head) < 5 + k or (head[1] >= 0x80 and not k):
+        return None
+    n = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
+    body = head[2 + k :]
+    return 2 + k + n if body[0] == 0x30 or (body[:2] == b"\x02\x01" and body[2] <= 1) else None
+
+
+def keys_in(run: str, starts: re.Pattern, read, chars) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of the keys encoded in a run. ``read``: the run's characters as bytes; ``chars``: how many characters so many bytes take."""
+    done = 0
+    for m in starts.finditer(run):
+        i = m.start()
+        if i < done:
+            continue
+        head = read(run[i : i + chars(12)]) or b""
+        n = der_end(head)
+        if n is None and head.startswith(b"openssh-key"):
+            n = openssh_end(read(run[i : i + chars(MOST_KEY) // 12 * 12]) or b"")
+        if n is None or (n > MOST_KEY and i + chars(n) < len(run.rstrip("="))):
+            continue
+        end = i + chars(n)
+        kind = structure((read(run[i:end]) or b"")[:n]) if end <= len(run) else None
+        if kind:
+            while end < len(run) and run[end] == "=" and (end - i) % 4:
+                end += 1
+            done = end
+            yield i, end, kind
+
+
+def encrypted_body(text: str) -> bool:
+    """Whether a PEM body has the header fields of PEM's own encryption and, behind them, whole blocks of its cipher."""
+    fields, body = {}, []
+    for x in text.strip().splitlines():
+        name, colon, value = x.partition(":")
+        if colon:
+            fields[name.strip()] = value.strip()
+        else:
+            body.append(x)
+    cipher, _, vector = fields.get("DEK-Info", "").partition(",")
+    block = next((n for start, n in CIPHER_BLOCKS.items() if cipher.startswith(start)), None)
+    data = decoded("".join("".join(body).split()))
+    if block is None or "ENCRYPTED" not in fields.get("Proc-Type", "") or not data:
         return False
-    return all(field() is not None for _ in range(keys)) and bool(field()) and not data[at:].strip(b"\0\n")
+    return bool(re.fullmatch(r"[0-9A-Fa-f]+", vector)) and len(vector) == 2 * block and len(data) >= 24 and len(data) % block == 0
 
 
 def decoded(run: str) -> bytes | None:
@@ -136,6 +205,10 @@ def decoded(run: str) -> bytes | None:
         return None
 
 
+def unhexed(run: str) -> bytes:
+    return bytes.fromhex(run[: len(run) // 2 * 2])
+
+
 def structure(data: bytes | None) -> str | None:
     """The kind of secret that the bytes are, if they are one."""
     if not data or len(data) < 24:
@@ -171,24 +244,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what decoding and parsing confirms. A PEM block is reported from its first to its last dash."""
-    found, taken = [], []
+    """(start, end, kind) of what decoding and parsing confirms. A PEM block is reported from its first to its last dash; keys in it
+    and in tokens aren't reported again."""
+    found = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
-            if kind := structure(decoded("".join(body.split()))):
+            body = m[2].replace("\\r", "").replace("\\n", "\n").replace("\\/", "/")
+            plain = "".join(x for x in body.split("\n") if ":" not in x)
+            if kind := structure(decoded("".join(plain.split()))) or ("pem" if encrypted_body(body) else None):
                 found.append((m.start(), m.end(), kind))
-                taken.append(m.span())
     if "eyJ" in text:
-        for m in JWT.finditer(text):
-            if signed_token(*m.groups()):
-                found.append((*m.span(), "jwt"))
-                taken.append(m.span())
-    for pattern, read in ((BASE64_RUN, decoded), (HEX_RUN, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in taken) and (kind := structure(read(m[0]))):
-                found.append((*m.span(), kind))
-    return sorted(set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+        found += [(*m.span(), "jwt") for m in JWT.finditer(text) if signed_token(*m.groups())]
+    taken = sorted(found)
+    starts, reach = [a for a, _, _ in taken], list(accumulate((b for _, b, _ in taken), max))
+    for m in BASE64_RUN.finditer(text):
+        run, places = m[0], [(0, m.start())]  # where the joined lines stand in the text
+        if not run.isalnum() and BREAK.search(run):
+            lines, at = [], 0
+            for x in BREAK.finditer(run):
+                lines.append(run[at : x.start()])
+                at = x.end()
+                places.append((sum(map(len, lines[-1:])) + places[-1][0], m.start() + at))
+            run = "".join([*lines, run[at:]])
+        for a, b, kind in keys_in(run, BASE64_START, decoded, lambda n: (4 * n + 2) // 3):
+            a, b = (i - joined + place for i in (a, b - 1) for joined, place in (places[bisect(places, (i, len(text))) - 1],))
+            found.append((a, b + 1, kind))
+    for m in HEX_RUN.finditer(text):
+        found += [(m.start() + a, m.start() + b, kind) for a, b, kind in keys_in(m[0], HEX_START, unhexed, lambda n: 2 * n)]
+    inside = lambda a, b: bool(k := bisect(starts, a)) and b <= reach[k - 1]
+    return sorted({*taken, *(s for s in found[len(taken) :] if not inside(s[0], s[1]))}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
@@ -199,7 +283,8 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Per row: counts of the base kinds, sha256 of their spans, all spans, and n_confirmed (those that parsing added).
 
     Spans are in code points, the end exclusive. A null text is an empty one: no spans. Whole texts are
-    scanned, and work is linear in their length. Repeated rows stay repeated."""
+    scanned, and work is linear in their length. Spans that start alike are in the order of their kinds, then of their ends. Repeated
+    rows stay repeated. An empty table gives an empty one."""
     import pyarrow as pa
 
     plain = pick(docs, doc_id, text).toDF("doc_id", "text")
