@@ -553,6 +553,15 @@ def test_decontamination_cuts_spans():
     assert decontaminate.cut(text, hits) == "Keep this. ! And this."
 
 
+def test_benchmark_in_parts(spark, small):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole, parts = (sorted(map(tuple, decontaminate.report(small, "doc_id", "text", benchmark, "item_id", "text", part_windows=n).collect())) for n in (10**6, 700))
+    assert whole == parts and any(r[3] for r in whole)
+    assert len(list(decontaminate.parts_of(benchmark, "item_id", "text", 700))) > 2
+    whole, parts = (sorted(map(tuple, decontaminate.decontaminate(small, "text", benchmark, "item_id", "text", part_windows=n).collect()), key=str) for n in (10**6, 700))
+    assert whole == parts
+
+
 # --- 10
 
 def test_token_counts(spark, small):

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_bytes, column_list, forget, pick, swept, written
+from tidemark.llm.common import column_bytes, column_list, forget, lean, pick, swept, written
 
 CLASSES, CLUSTERED, ROUNDS = 60, 2000, 20
 ADD, ADD_CLASS = 0.1, 0.1
@@ -137,7 +137,7 @@ def coded(plain: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield emit()
 
-    rows = plain.select("doc_id", "text", "held_out").mapInArrow(run, f"block long, ids array<{kind}>, held array<boolean>, lens array<int>, codes binary, words array<string>, ns array<int>")
+    rows = plain.select("doc_id", "text", "held_out").mapInArrow(lean(run), f"block long, ids array<{kind}>, held array<boolean>, lens array<int>, codes binary, words array<string>, ns array<int>")
     return written(rows, "coded", **{"parquet.block.size": 4 * block_bytes})
 
 
@@ -184,7 +184,7 @@ def code_pairs(blocks: DataFrame, state: Classes) -> np.ndarray:
             some = keys[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["key", "n"])
 
-    found = blocks.select("held", "lens", "codes", "words").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = blocks.select("held", "lens", "codes", "words").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(codes * codes)
     sums[found.column("key").to_numpy()] = found.column("n").to_numpy()
     sent.unpersist()
@@ -212,7 +212,7 @@ def neighbours(blocks: DataFrame, state: Classes) -> DataFrame:
                     lists = [pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(x[some[0] : some[-1]], t)) for x, t in ((keys % (2 * total), pa.int16()), (n, pa.int32()))]
                     yield pa.RecordBatch.from_arrays([words.take(pa.array(ids[i : i + 20_000])), *lists], names=["word", "keys", "ns"])
 
-    return blocks.select("held", "lens", "codes", "words").mapInArrow(run, "word string, keys array<smallint>, ns array<int>")
+    return blocks.select("held", "lens", "codes", "words").mapInArrow(lean(run), "word string, keys array<smallint>, ns array<int>")
 
 
 def best_classes(row: np.ndarray, key: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -299,7 +299,7 @@ def tail_classes(found: DataFrame, state: Classes, pairs: np.ndarray, together:
         if last is not None:
             yield classed(pa.array([last.as_py()], pa.string()), np.zeros(len(last_cells), np.int64), last_cells, last_n)
 
-    return rows.mapInArrow(run, "word string, c long, k int")
+    return rows.mapInArrow(lean(run), "word string, c long, k int")
 
 
 def classed_documents(blocks: DataFrame, classes: DataFrame, lexicon: DataFrame, unseen: int, n: int, v: int, ends_learned: int) -> DataFrame:
@@ -347,7 +347,7 @@ def class_bigrams(documents: DataFrame, total: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[keys])], names=["key", "n"])
 
     sums = np.zeros(total * total)
-    for key, n in documents.select("ks").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # classes squared at most
+    for key, n in documents.select("ks").mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n")).collect():  # classes squared at most
         sums[key] = n
     return sums.reshape(total, total)
 
@@ -426,4 +426,4 @@ def _scored(kept: DataFrame, steps: np.ndarray, n: int) -> DataFrame:
             columns = [b.column(b.schema.get_field_index(x)) for x in names[:4]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(length), n, np.int64)), b.column(b.schema.get_field_index("base_score")), pa.array(score), pa.array(10 ** (-score / length))], names=names)
 
-    return kept.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return kept.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

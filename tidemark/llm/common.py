@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,23 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def by_salt(left: DataFrame, right: DataFrame, on: list[str], salt: list[str], salts: int = 64) -> DataFrame:
+    """Inner join with a table that has each key once, when a key may have any share of the left rows.
+
+    The left rows of a key are dealt over ``salts`` by a hash of the columns ``salt``; the right ones are repeated only under salts that occur."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*salt, F.lit(5)), F.lit(salts)).cast("int"))
+    there = dealt.select(*on, "_salt").distinct()
+    return dealt.join(there.join(right, on), [*on, "_salt"]).drop("_salt")
+
+
+def with_least(rows: DataFrame, key: str, value: str, out: str, salts: int = 64) -> DataFrame:
+    """The rows with a column ``out``: the least ``value`` of their key, summed and joined by salt, as a key may have any share of the rows."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(value, F.lit(5)), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy(key, "_salt").agg(F.min(value).alias("_least"))
+    least = parts.groupBy(key).agg(F.min("_least").alias(out))
+    return dealt.join(parts.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
@@ -134,6 +152,30 @@ def column_list(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives memory back to the system when a task ends: workers stay, and what they have freed counts as theirs."""
+
+    def runs(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return runs
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_batch(schema, **columns):
     """An Arrow batch with the columns in the schema's order."""
     import pyarrow as pa

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import with_least, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Of each node with an edge, the smallest node it is connected to: columns ``node``, ``root``.
 
     Large-star and small-star rounds in turn: every round points each node at the smallest
-    neighbour, keeps connectivity and never holds a node's neighbours in one place (sums are
-    pre-aggregated, the join with the minimum is on a side that adaptive execution can split).
+    neighbour, keeps connectivity and never holds a node's neighbours in one place: minima are
+    taken, and joined to the edges, by node and salt.
     Each round is written to the shared folder. Nulls and loops are no edges; repeated edges count
     once; an empty table gives an empty one."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
@@ -22,13 +22,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: neighbours above a node point at the node's minimum
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large star: neighbours above a node point at the least of it and its neighbours
+        large = with_least(both, "u", "v", "m").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         # small star: a node's lower neighbours, and itself, point at the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = with_least(large, "u", "v", "m")
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        e = written(small.select(F.inline(pairs)).where("u <> v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

@@ -9,14 +9,14 @@ scanned in as many narrow passes as it needs, each handing its hits to the next
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Carried, column_bytes, column_list, pick, written
+from tidemark.llm.common import Carried, column_bytes, column_list, lean, pick, written
 
 SIZE = 10
 PART_WINDOWS = 1_000_000
@@ -108,27 +108,45 @@ def parts_of(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterat
         yield held
 
 
-def scan(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, out: str, size: int = SIZE, most: int = PART_WINDOWS) -> DataFrame:
-    """The table with a column ``out`` of hits: first and last word (from 0) of each occurrence, and the item's id."""
-    spark = docs.sparkSession
-    docs = docs.withColumn(out, F.expr(f"cast(array() as {HITS})"))
-    at, kind = docs.columns.index(out), docs.schema
-    for turn, part in enumerate(parts_of(benchmark, item_id, item_text, most)):
-        if turn:  # passes run one after the other, or all parts would be in memory at once
-            docs = written(docs, "scanned")
+def scan(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, then: Callable, schema, size: int = SIZE, most: int = PART_WINDOWS) -> DataFrame:
+    """The table as ``then`` makes it (of ``schema``) from each batch and the hits of its rows: first and last word (from 0) of each
+    occurrence, and the item's id. The last part of the benchmark is scanned for, and ``then`` applied, in one pass."""
+    spark, extra = docs.sparkSession, "_earlier_hits"
+    parts = parts_of(benchmark, item_id, item_text, most)
+    part, following = next(parts, []), next(parts, None)
+    kind = docs.withColumn(extra, F.expr(f"cast(array() as {HITS})")).schema
+
+    def found(b, sent, names):
+        held = _set(sent, size)
+        before = column_list(b, extra) if extra in names else [[]] * b.num_rows
+        return [h + [{"first": f, "last": la, "item": i} for f, la, i in held.hits(words_of(t))] for h, t in zip(before, column_bytes(b, text), strict=True)]
+
+    while following is not None:  # passes run one after the other, or all parts would be in memory at once
         sent = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
-            held = _set(sent, size)
             for b in batches:
-                before = column_list(b, out)
-                hits = [h + [{"first": f, "last": la, "item": i} for f, la, i in held.hits(words_of(t))] for h, t in zip(before, column_bytes(b, text), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hits, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)], schema=b.schema)
+                names = [*(x for x in b.schema.names if x != extra), extra]
+                hits = pa.array(found(b, sent, b.schema.names), hits_type())
+                yield pa.RecordBatch.from_arrays([hits if x == extra else b.column(k) for k, x in enumerate(names)], names=names)
+
+        docs = written(docs.mapInArrow(lean(run), kind), "scanned")
+        part, following = following, next(parts, None)
+    sent = spark.sparkContext.broadcast(part)
+
+    def last(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield then(b, found(b, sent, b.schema.names))
+
+    return docs.mapInArrow(lean(last), schema)
 
-        docs = docs.mapInArrow(run, kind)
-    return docs
+
+def hits_type():
+    import pyarrow as pa
+
+    return pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 
 
 _SETS: dict = {}
@@ -157,7 +175,7 @@ def hit_words(hits: list[dict], n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def report(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, size: int = SIZE) -> DataFrame:
+def report(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, size: int = SIZE, part_windows: int = PART_WINDOWS) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids, sorted as strings).
 
     A null or empty text has no words and is clean; so is everything if the benchmark is empty. Items
@@ -165,20 +183,18 @@ def report(docs: DataFrame, doc_id: str, text: str, benchmark: DataFrame, item_i
     import pyarrow as pa
 
     plain = pick(docs, doc_id, text).toDF("doc_id", "text")
-    found = scan(plain, "text", benchmark, item_id, item_text, "_hits", size)
-    kind = found.schema["doc_id"].dataType.simpleString()
+    kind = plain.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            n_words, n_hit, items = [], [], []
-            for t, hits in zip(column_bytes(b, "text"), column_list(b, "_hits"), strict=True):
-                n_words.append(len(words_of(t)))
-                n_hit.append(int(hit_words(hits, n_words[-1]).sum()) if hits else 0)
-                items.append(sorted({h["item"] for h in hits}))
-            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests), pa.array([x > 0 for x in n_hit]), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+    def told(b, found):
+        n_words, n_hit, items = [], [], []
+        for t, hits in zip(column_bytes(b, "text"), found, strict=True):
+            n_words.append(len(words_of(t)))
+            n_hit.append(int(hit_words(hits, n_words[-1]).sum()) if hits else 0)
+            items.append(sorted({h["item"] for h in hits}))
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
-    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return scan(plain, "text", benchmark, item_id, item_text, told, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>", size, part_windows)
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -206,7 +222,7 @@ def cut(text: str, hits: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, size: int = SIZE, drop_share: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, size: int = SIZE, drop_share: float = 0.5, part_windows: int = PART_WINDOWS) -> DataFrame:
     """The documents without benchmark passages, all columns kept.
 
     Hit spans are cut out of a text; a document of whose words at least ``drop_share`` are hit is
@@ -214,21 +230,18 @@ def decontaminate(docs: DataFrame, text: str, benchmark: DataFrame, item_id: str
     import pyarrow as pa
 
     table = Carried(docs)
-    t = table.at(text)
-    found = scan(table.frame, t, benchmark, item_id, item_text, "_hits", size)
-    at = found.columns.index(t)
-
-    def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            keep, texts = [], []
-            for x, hits in zip(column_list(b, t), column_list(b, "_hits"), strict=True):
-                n = len(words_of(x.encode())) if hits else 0
-                keep.append(not hits or int(hit_words(hits, n).sum()) < drop_share * n)
-                texts.append(cut(x, hits) if hits and keep[-1] else x)
-            columns = [pa.array(texts, c.type) if k == at else c for k, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-    return table.back(found.mapInArrow(run, found.schema))
+    t, names = table.at(text), table.frame.columns
+
+    def clean(b, found):
+        keep, texts = [], []
+        for x, hits in zip(column_list(b, t), found, strict=True):
+            n = len(words_of(x.encode())) if hits else 0
+            keep.append(not hits or int(hit_words(hits, n).sum()) < drop_share * n)
+            texts.append(cut(x, hits) if hits and keep[-1] else x)
+        columns = [pa.array(texts, b.column(x).type) if x == t else b.column(x) for x in names]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return table.back(scan(table.frame, t, benchmark, item_id, item_text, clean, table.frame.schema, size, part_windows))
 
 
 ORACLE = r"""

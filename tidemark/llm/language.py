@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_list, pick
+from tidemark.llm.common import column_list, lean, pick
 
 MOST, LEAST_COUNT, ADD = 5, 2, 0.5
 #: Bound of the training sample: about so many documents of each language, drawn by a hash of the row.
@@ -136,7 +136,7 @@ def train(labelled: DataFrame, text: str, language: str, rows: int = TRAIN_ROWS,
             for n, t in enumerate(tables):
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(t), pa.string()), pa.array([n] * len(t), pa.int32()), pa.array(list(t), pa.string()), pa.array(list(t.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
-    summed = sample.mapInArrow(run, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
+    summed = sample.mapInArrow(lean(run), "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
     per_gram = summed.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
     kept = per_gram.where(f"n >= {LEAST_COUNT} or kind between 1 and {MOST - 1}")
     number = {k: i for i, k in enumerate(languages)}
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, doc_id: str, text: str, model: Model, also: dict[st
             found = [held.predict(t) for t in column_list(b, "text")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, doc_id: str, text: str, language: str, held_out: Column, rows: int = TRAIN_ROWS) -> DataFrame:

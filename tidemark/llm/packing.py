@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytepairs import word_encoder
-from tidemark.llm.common import column_list, pick
+from tidemark.llm.common import column_list, lean, pick
 
 WINDOW, END = 4096, 2
 SENTENCE, HARD = 4, 64
@@ -146,4 +146,4 @@ def pack(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, end: int
         if held:
             yield flush()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)

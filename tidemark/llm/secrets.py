@@ -22,7 +22,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import column_list, pick
+from tidemark.llm.common import column_list, lean, pick
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -302,4 +302,4 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 added.append(len(more))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"])
 
-    return plain.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return plain.mapInArrow(lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Carried, column_bytes, pick, written
+from tidemark.llm.common import Carried, by_salt, column_bytes, lean, pick, with_least, written
 from tidemark.llm.components import components
 
 BITS, SEED = 64, 42
@@ -107,7 +107,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str = "fp", shingle: int = 4
             made = [pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())] if words == 1 else [pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + made, names=[*keep, out] + ["s"] * (words > 1))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -296,8 +296,10 @@ def wide_radius(similarity: float, words: int) -> int:
 
 
 def keys_for(count: int, bits: int, radius: int, miss: float = 0.005) -> tuple[int, int]:
-    """(bits of a key, number of keys) so that a pair at the radius agrees on none of the keys with probability ``miss`` at most."""
-    length = min(14, max(1, int(np.log2(max(count, 2))) - 9))
+    """(bits of a key, number of keys) so that a pair at the radius agrees on none of the keys with probability ``miss`` at most.
+
+    Keys grow with the count, so that an even deal leaves some 500 to 1,000 in a bucket at any size; the number of keys with them."""
+    length = max(1, int(np.log2(max(count, 2))) - 9)
     agree = float(np.prod([(bits - radius - i) / (bits - i) for i in range(length)]))
     return length, int(np.ceil(np.log(miss) / np.log(1 - agree)))
 
@@ -327,7 +329,7 @@ def wide_links(fps: DataFrame, similarity: float, words: int, miss: float = 0.00
                 key = some[:, places[k]].astype(np.int64) @ weights
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(key), b.column(0)], names=["choice", "bucket", "fp"])
 
-    return linked(fps.select("fp").mapInArrow(run, "choice int, bucket long, fp binary"), radius, block)
+    return linked(fps.select("fp").mapInArrow(lean(run), "choice int, bucket long, fp binary"), radius, block)
 
 
 def like_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -362,7 +364,7 @@ def alike(suspects: DataFrame, similarity: float, most: int = 512, most_shingles
     size = F.size("h")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum(size) / F.lit(most_shingles)), F.lit(1)).cast("int")
     spread = suspects.groupBy("root").agg(blocks.alias("blocks"))
-    rows = suspects.join(spread, "root").withColumn("own", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = by_salt(suspects, spread, ["root"], ["s"]).withColumn("own", F.pmod(F.xxhash64("s", F.lit(7)), F.col("blocks")).cast("int"))
     pair = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) as lo, greatest(own, x) as hi))")
     rows = rows.select("root", "own", "s", "h", F.explode(pair).alias("pair")).select("root", "pair.lo", "pair.hi", "own", "s", "h")
 
@@ -395,7 +397,7 @@ def with_shingles(df: DataFrame, text: str, shingle: int) -> DataFrame:
             h = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [h], names=[*keep, "h"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -409,8 +411,8 @@ def classes(docs: DataFrame, doc_id: str, text: str, shingle: int = 4, radius: i
     least = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(least.select("fp"), radius))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root"), "fp").join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = with_least(named, "root", "least", "component_id").select("fp", "component_id")
+    return by_salt(rows, ids, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
@@ -431,7 +433,7 @@ def keep_first(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, simila
     groups = components(wide_links(least.select("fp").distinct(), similarity, words))
     grouped = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("s", "least", F.coalesce("root", "fp").alias("root"))
     several = grouped.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
-    suspects = written(grouped.join(several, "root").select("root", "s", F.col("least.h").alias("_h"), F.col("least.g").alias("_g")), "suspects")
+    suspects = written(by_salt(grouped, several, ["root"], ["s"]).select("root", "s", F.col("least.h").alias("_h"), F.col("least.g").alias("_g")), "suspects")
     texts = plain.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "_t").join(suspects, ["_h", "_g"]).dropDuplicates(["_h", "_g"])
     sets = written(with_shingles(texts.select("root", "s", "_t"), "_t", shingle), "suspects")
     roots = components(alike(sets, similarity))

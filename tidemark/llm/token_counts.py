@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytepairs import prefix_counter
-from tidemark.llm.common import column_list, pick
+from tidemark.llm.common import column_list, lean, pick
 
 
 def default_path() -> str:
@@ -44,7 +44,7 @@ def with_prefix_counts(docs: DataFrame, doc_id: str, text: str, path: str | None
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tables)))
                 yield pa.RecordBatch.from_arrays([few.column(0), lists], names=["doc_id", "prefix_tokens"])
 
-    return plain.mapInArrow(run, f"doc_id {kind}, prefix_tokens array<int>")
+    return plain.mapInArrow(lean(run), f"doc_id {kind}, prefix_tokens array<int>")
 
 
 def tokens_at(prefix_tokens: str, length: Column) -> Column:
@@ -79,7 +79,7 @@ def count(docs: DataFrame, doc_id: str, text: str, limit: int = 1024, path: str
                 fit = np.fromiter((len(t) if k <= limit else fitting(counter, t, limit) for t, k in zip(texts, n.tolist(), strict=True)), np.int64, len(texts))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size), pa.array(n), pa.array(n > limit), pa.array(fit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 
-    return plain.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")
+    return plain.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")
 
 
 def fitting(counter, text: str, limit: int) -> int:
