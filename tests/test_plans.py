@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.operators import anomaly
 from tidemark.plans import cli, documents, report, semantics, watching
 from tidemark.plans.assistant import Assistant, in_scope, intent_of, mode_switch
 from tidemark.plans.provider import Metered, Stub
@@ -30,7 +31,7 @@ def test_phrases(phrase, want):
 
 def test_phrases_on_old_data():
     found, note = instant("2 days ago", LO, HI, now=HI + 30 * 86400)
-    assert dt.datetime.fromtimestamp(found, dt.UTC).day == 3 and "latest reading" in note and "2026-09-03" in note
+    assert dt.datetime.fromtimestamp(found, dt.UTC).day == 3 and "counted from there" in note and "2026-09-03" in note
     assert instant("on 2026-09-02", LO, HI, now=HI + 30 * 86400)[1] == ""
 
 
@@ -179,6 +180,72 @@ def test_assistant(spark, asset, tmp_path):
     assert "now for expert" in a.send("switch to expert") and meter.calls >= 0
 
 
+def drifting(spark, tmp_path, provider=None):
+    """An assistant over an engine whose signals part ways after the baseline's days, and a fleet with an idle boat."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=600)
+    rows = [(float(60 * i), "2026-09-01" if i < 300 else "2026-09-02", float(base[i]), float(base[i] + 0.05 * rng.normal()), float(rng.normal())) for i in range(600)]
+    later = [(float(60 * i), "2026-09-05", float(rng.normal() + 3), float(rng.normal()), float(rng.normal())) for i in range(600, 900)]
+    df = spark.createDataFrame(rows + later, "timestamp double, date string, load double, heat double, noise double")
+    artifacts = sinks.Artifacts(str(tmp_path), "boat")
+    made = anomaly.build_baseline(df.where("date < '2026-09-03'"), ["load", "heat", "noise"])
+    assert made
+    artifacts.save("baseline", "engine", made)
+    stays = [(f"b{k}", 3600.0 * (10 * j + i), 50.0 + j, 0.01 * k) for k in (1, 2) for j in range(6) for i in range(3 if j < 5 or k == 1 else 9)]
+    fleet = spark.createDataFrame(stays, "mmsi string, timestamp double, latitude double, longitude double")
+    knowledge = Knowledge()
+    knowledge.set_field("engine", "heat", "confirmed", description="coolant temperature")
+    return Assistant({"fleet": fleet, "engine": df}, provider, knowledge, artifacts=artifacts)
+
+
+def test_drift_in_chat(spark, tmp_path):
+    a = drifting(spark, tmp_path)
+    first = a.send("anything unusual?")  # only the engine has a baseline
+    assert first.startswith("engine: ") and "changed" in first and "(300 rows)" in first and "Shall I show the details?" in first
+    assert "These are departures, not causes." in a.send("yes please") and a.offered == []
+    told = a.send("explain the drift on engine")
+    assert "what caused it the data don't say" in told and ("coolant temperature" in told or "regime" in told)
+    flags = a.send("anything unusual on fleet?")
+    assert "no baseline" in flags and "fleet b2: the present stop lasts 8.0 h" in flags and "b1" not in flags
+
+    class Teller(Stub):
+        synthesizes = True
+
+        def complete(self, system, user):
+            return "told: " + user
+
+    told = drifting(spark, tmp_path, Teller()).send("why this drift on engine?")
+    grounds = json.loads(told.removeprefix("told: "))
+    assert grounds["source"] == "engine" and grounds["rows"] == 300 and (grounds["ties"] or grounds["regimes"] or grounds["readings"])
+
+
+def test_routing(spark, tmp_path):
+    a = drifting(spark, tmp_path)
+    assert a.source == "fleet" and a.route("value", "average heat") == "engine" and a.route("anomaly", "anything odd") == "engine"
+    a.source = "engine"
+    assert a.route("position", "where are we") == "fleet" and a.route("value", "mean of fleet") == "fleet" and a.route("value", "average") == "engine"
+
+
+def test_interpretation(spark, tmp_path):
+    from tidemark.plans import interpret
+
+    edge = lambda a, b, d: {"scope": "global", "a": a, "b": b, "pearson": d, "dcor": d, "kind": "linear", "direct": True}
+    edges = [edge("a", "b", 0.9), edge("a", "c", 0.5), edge("b", "c", 0.1), edge("d", "e", 0.3)]
+    assert [(c["hub"], c["members"]) for c in interpret.clusters(edges)] == [("a", ["b", "c"]), ("b", ["a"]), ("c", ["a"]), ("d", ["e"]), ("e", ["d"])]
+    made = interpret.interpret("engine", edges, Stub({"ties of a on": "a drives b"}))
+    assert made[0]["reading"] == "a drives b" and made[0]["status"] == "guess" and made[1]["status"] == "none"
+    knowledge = Knowledge()
+    assert interpret.correct(made, "a", None)[0]["status"] == "confirmed" and interpret.correct(made, "a", "b drives a", knowledge)[0]["reading"] == "b drives a"
+    assert "b drives a" in knowledge.context() or any("b drives a" in r["text"] for r in knowledge.tier("correction"))
+    with pytest.raises(KeyError):
+        interpret.correct(made, "z", None)
+    a = drifting(spark, tmp_path)
+    hub = a.interpretation("engine")[0]["hub"]
+    assert a.apply_correction("engine", hub, "known")[0]["status"] == "corrected" and a.interpretation("engine")[0]["reading"] == "known"
+
+
 def test_command_line(spark, asset, tmp_path, capsys):
     def run(*argv):
         code = cli.main(["--root", asset, "--asset", "boat", "--state", str(tmp_path), *argv], spark)
@@ -207,22 +274,45 @@ def test_report():
 
 
 def test_streams(spark, tmp_path):
-    rows = [(float(t), "x", 1.0 if t < 5000 else 2.0, 0.0) for t in range(0, 10000, 100)] + [(50000.0, "x", 9.0, 0.0)]
+    zero = 36_000_000.0  # an hour; at the epoch itself the first watermark stands
+    rows = [(zero + t, "x", 1.0 if t < 5000 else 2.0, 0.0) for t in range(0, 10000, 100)] + [(zero + 50000.0, "x", 9.0, 0.0)]
     df = spark.createDataFrame(rows, "t double, who string, lat double, lon double")
     df.write.json(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).json(f"{tmp_path}/in")
     q = windows.stops(stream, "who").writeStream.format("memory").queryName("stops").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted((r["t_start"], r["t_end"]) for r in spark.table("stops").collect()) == [(0.0, 4900.0), (5000.0, 9900.0)]
+    assert sorted((r["t_start"] - zero, r["t_end"] - zero) for r in spark.table("stops").collect()) == [(0.0, 4900.0), (5000.0, 9900.0)]
     q = windows.trend(stream, "t", "lat", 3600, ["who"]).writeStream.format("memory").queryName("trend").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {r["t_start"]: r["n"] for r in spark.table("trend").collect()}
+    got = {r["t_start"] - zero: r["n"] for r in spark.table("trend").collect()}
     assert got[0] == 36 and got[3600] == 36
     spans = windows.sessions(df, "t", 1800, ["who"]).orderBy("t_start").collect()
-    assert [(r["t_start"], r["t_end"], r["n"]) for r in spans] == [(0.0, 9900.0, 100), (50000.0, 50000.0, 1)]
+    assert [(r["t_start"] - zero, r["t_end"] - zero, r["n"]) for r in spans] == [(0.0, 9900.0, 100), (50000.0, 50000.0, 1)]
     assert windows.one_per_tick(df, "t", ["who"], 0.001).count() == 12
 
 
+def test_stream_state_ends(spark, tmp_path):
+    """An entity that falls silent has its stop reported and its state dropped; fixes out of order are counted."""
+    schema = "t double, who string, lat double, lon double"
+    for k, rows in enumerate(([(float(t), "x", 1.0, 0.0) for t in range(1000, 6000, 100)], [(5000.0, "x", 1.0, 0.0), (6000.0, "x", 1.0, 0.0)], [(100_000.0, "y", 1.0, 0.0)], [(100_100.0, "y", 1.0, 0.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in{k}")
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        part = next((tmp_path / f"in{k}").glob("*.json"))
+        shutil.copy(part, tmp_path / "in" / f"{k}.json")
+        import os
+
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    q = windows.stops(stream, "who", late="1 hour", idle="1 hour").writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    rows = spark.table("silent").collect()
+    assert [(r["entity"], r["t_start"], r["t_end"]) for r in rows if r["ended"] == "silent"] == [("x", 1000.0, 6000.0)]
+    assert sum(r["late"] for r in rows) == 1
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = set(__spark_entry__.queries())

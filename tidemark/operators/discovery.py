@@ -165,6 +165,15 @@ def regime_profiles(labelled: DataFrame, columns: list[str], label: str = "label
     return sums.join(F.broadcast(total)).withColumn("fraction", F.round(F.col("size") / F.col("_total"), 4)).drop("_total")
 
 
+def centroid_spread(profiles: DataFrame, columns: list[str]) -> DataFrame:
+    """Per signal the mean and deviation of the regimes' means, each weighted by its regime's size: signal, mean, spread."""
+    x = [quoted(c) for c in columns]
+    n = F.sum("size")
+    one = profiles.agg(*[f for i, v in enumerate(x) for f in ((F.sum(v * F.col("size")) / n).alias(f"m{i}"), F.sqrt(F.greatest(F.sum(v * v * F.col("size")) / n - F.pow(F.sum(v * F.col("size")) / n, F.lit(2.0)), F.lit(0.0))).alias(f"s{i}"))])
+    rows = [F.struct(F.lit(c).alias("signal"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("spread")) for i, c in enumerate(columns)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def regime_graphs(df: DataFrame, columns: list[str], model: dict | None = None, with_mi: bool = False, n_perm: int = 0, seed: int = 0, time: str | None = None) -> dict:
     """Regimes and a graph per regime with enough rows, under a given model or a new one: {k, model, profiles, edges, note}."""
     spark = df.sparkSession

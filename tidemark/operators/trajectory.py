@@ -127,6 +127,18 @@ def dwell_flags(stops: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", F.try_divide("current_h", "median_h")).withColumn("flagged", (F.col("current_h") > F.col("p90_h")) & (F.col("current_h") >= 1.5 * F.col("median_h"))).withColumn("confidence", F.when(F.col("n") >= 10, "high").when(F.col("n") >= 5, "medium").otherwise("low"))
 
 
+def voyage_norms(legs: DataFrame, entity: str, order: str) -> DataFrame:
+    """``voyage_norm`` of each entity's legs (columns km, total) in one plan: entity, rate, median, p90, n, verdict; entities with too little are left out."""
+    rate = F.when(F.col("total").isNotNull() & (F.col("km") != 0), F.col("total") / F.col("km"))
+    last = F.row_number().over(Window.partitionBy(entity).orderBy(F.col(order).desc()))
+    past = F.when(F.col("_k") > 1, F.col("_rate"))
+    rows = legs.withColumn("_rate", rate).withColumn("_k", last)
+    found = rows.groupBy(entity).agg(F.count("*").alias("_legs"), F.max(F.when(F.col("_k") == 1, F.col("_rate"))).alias("rate"), F.median(past).alias("median"), F.percentile(past, 0.9).alias("p90"), F.count(past).alias("n"))
+    higher = (F.col("rate") > F.col("p90")) & (F.col("rate") >= 1.25 * F.col("median"))
+    verdict = F.when(higher, "HIGHER").when(F.col("rate") < 0.75 * F.col("median"), "LOWER").otherwise("NORMAL")
+    return found.where("_legs >= 3 and n >= 2 and rate is not null").select(entity, "rate", "median", "p90", "n", verdict.alias("verdict"))
+
+
 def voyage_norm(legs: list[dict]) -> dict | None:
     """How the last leg's rate per km compares with those before: verdict HIGHER, LOWER or NORMAL; None if there is too little to judge by.
 

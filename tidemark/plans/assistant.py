@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import bucket_seconds
 from tidemark.operators import aggregates, anomaly, discovery, spatial, timejoin, trajectory
-from tidemark.plans import report, semantics
+from tidemark.plans import interpret, report, semantics
 from tidemark.plans.provider import Provider, Stub
 from tidemark.plans.stores import Actors, Ambiguous, Knowledge, Watches
 from tidemark.plans.timephrase import instant
+from tidemark.plans.watching import recent_dates
 from tidemark.sources import layout
 from tidemark.sources.sinks import Artifacts
 
@@ -87,6 +88,7 @@ class Assistant:
         self.waiting: str | None = None
         self.last: tuple[str, str] | None = None
         self._ranges: dict[str, tuple[float, float]] = {}
+        self.offered: list[str] = []  # sources whose findings a "yes" asks for
 
     # --- a turn
 
@@ -100,9 +102,13 @@ class Assistant:
             return "I answer questions about this asset's data."
         if re.fullmatch(r"\W*why\W*", message.lower()) and self.last:
             return self.reasoning(self.last[0])
+        if self.offered and re.fullmatch(r"\W*(?:yes|yep|sure|ok(?:ay)?|please|go on|show me)(?: please)?\W*", message.lower()):
+            answer = self.anomaly_detail(message)
+            self.last = (message, answer)
+            return answer
         intent = intent_of(message, self.provider)
-        if named := self.named_source(message):
-            self.source = named
+        self.source = self.route(intent, message)
+        self.offered = []
         try:
             # the registries are attributes, so the answers for these intents have names of their own
             answer = getattr(self, f"answer_{intent}" if intent in ("watches", "actors") else intent)(message)
@@ -118,6 +124,27 @@ class Assistant:
         text = message.lower()
         return next((s for s in sorted(self.frames, key=len, reverse=True) if s.lower() in text or s.lower().replace("-", " ") in text), None)
 
+    def route(self, intent: str, message: str) -> str | None:
+        """The source that can answer: the one named; for places and movement one with positions; for numbers the only one whose signals the
+        message names; for drift the only one with a baseline; else the present one."""
+        if named := self.named_source(message):
+            return named
+        if intent in ("position", "distance", "voyage") and self.source and not self.places_of(self.source):
+            return next((s for s in self.frames if self.places_of(s)), self.source)
+        if intent in ("value", "trend", "plot", "efficiency", "geo"):
+            grams = {semantics.plain(w) for w in re.findall(r"[A-Za-z0-9_]+", message) if len(w) > 3}
+            some = [s for s in self.frames if any(semantics.plain(c) in grams for c in self.signals(s))]
+            return some[0] if len(some) == 1 else self.source
+        if intent == "anomaly" and self.artifacts and not self.all_sources(message) and not self.artifacts.load("baseline", self.source):
+            some = [s for s in self.frames if self.artifacts.load("baseline", s)]
+            return some[0] if len(some) == 1 else self.source
+        return self.source
+
+    def places_of(self, source: str) -> tuple[str, str] | None:
+        """A source's columns of latitude and longitude."""
+        lat, lon = self.role(source, "latitude"), self.role(source, "longitude")
+        return (lat, lon) if lat and lon else None
+
     def all_sources(self, message: str) -> bool:
         return not self.named_source(message) and bool(re.search(r"\b(?:all|every|each|any) (?:sources?|of (?:it|them))\b|\bacross\b|\bmy data\b|\banywhere\b", message.lower()))
 
@@ -283,7 +310,7 @@ class Assistant:
 
     def coverage(self, message: str) -> str:
         position = self.track() if self.position_source() else None
-        rows = spatial.coverage_gaps(self.frames[self.source], "timestamp", None, position).orderBy(F.desc("duration_s")).collect()
+        rows = spatial.coverage_gaps(self.frames[self.source], "timestamp", None, position).orderBy(F.desc("duration_s"), "t_start").limit(5).collect()
         if not rows:
             return f"{self.source} has too few readings to tell."
         head = f"{self.source} reported {rows[0]['coverage']:.0%} of the time"
@@ -304,7 +331,34 @@ class Assistant:
         found = {s: self.discover(s) for s in sources}
         return "\n".join(report.markdown(report.discovery_report(s, f, [])) for s, f in found.items())
 
+    def fused(self, sources: list[str]) -> str:
+        """Ties between signals of different sources."""
+        made = discovery.fused_graph(timejoin.fuse({s: self.frames[s] for s in sources}))
+        strong = F.col("cross") & (F.col("dcor") >= discovery.LEAST_DCOR)
+        edges = [r.asDict() for r in made["edges"].where(strong).orderBy(F.desc("dcor"), "a", "b").limit(15).collect()]
+        return "\n".join(map(report.edge_words, edges)) or f"No ties between {' and '.join(sources)} stand out."
+
+    def interpretation(self, source: str) -> list[dict]:
+        """Readings of a source's clusters, as kept, or made anew."""
+        kept = self.artifacts.load("interpretation", source) if self.artifacts else None
+        if kept:
+            return kept["readings"]
+        made = interpret.interpret(source, self.discover(source)["edges"], self.provider, self.knowledge.context())
+        if self.artifacts:
+            self.artifacts.save("interpretation", source, {"readings": made})
+        return made
+
+    def apply_correction(self, source: str, hub: str, text: str | None = None) -> list[dict]:
+        """Confirms (without text) or replaces the reading of a hub."""
+        made = interpret.correct(self.interpretation(source), hub, text, self.knowledge, source)
+        if self.artifacts:
+            self.artifacts.save("interpretation", source, {"readings": made})
+        return made
+
     def relationship(self, message: str) -> str:
+        named = [s for s in self.frames if s.lower() in message.lower()]
+        if len(self.frames) > 1 and (len(named) > 1 or re.search(r"\bacross\b|\bbetween (?:the |all )?sources\b", message.lower())):
+            return self.fused(named if len(named) > 1 else list(self.frames))
         edges = sorted(self.discover(self.source)["edges"], key=lambda e: -e["dcor"])
         words = semantics.plain(message)
         named = [e for e in edges if semantics.plain(e["a"]) in words or semantics.plain(e["b"]) in words] or edges
@@ -320,17 +374,92 @@ class Assistant:
             return self.relationship(message) + ("\nKnown:\n" + facts if facts else "")
         return self.provider.complete("Explain from these findings alone; invent no numbers.\n" + facts, message + "\n" + self.relationship(message))
 
+    def drift_of(self, source: str) -> dict | None:
+        """What departs from the source's baseline in the dates it has not seen, or the last two; None without a baseline."""
+        base = self.artifacts.load("baseline", source) if self.artifacts else None
+        if not base:
+            return None
+        df = self.frames[source]
+        if "date" in df.columns:
+            have = sorted(r[0] for r in df.select(F.col("date").cast("string")).distinct().collect())  # one a day
+            df = df.where(F.col("date").cast("string").isin(recent_dates(have, base)))
+        return anomaly.detect_drift(df, base)
+
+    def headline(self, source: str, found: dict | None) -> str:
+        if found is None:
+            return f"{source}: there is no baseline yet; build one over days known to be good."
+        joint = sum(1 for r in found["joint"] if r["flagged"])
+        parts = [f"{n} {what}{'s' if n > 1 else ''}" for n, what in ((len(found["structure"]), "changed tie"), (len(found["regimes"]), "changed regime"), (len(found["transitions"]), "odd transition"), (joint, "regime with unusual readings")) if n]
+        return f"{source}: " + (", ".join(parts) if parts else "nothing departs from the baseline") + f" ({found['rows']} rows)"
+
     def anomaly(self, message: str) -> str:
+        text = message.lower()
+        if re.search(r"\bwhy\b|\bexplain\b|\bmean(?:s|ing)?\b|\bcaus\w+", text):
+            return self.explain_drift(message)
+        if re.search(r"\bdetails?\b|\bin full\b|\bmore about\b", text):
+            return self.anomaly_detail(message)
+        sources = list(self.frames) if self.all_sources(message) else [self.source]
+        found = {s: self.drift_of(s) for s in sources}
+        out = [self.headline(s, f) for s, f in found.items()]
+        self.offered = [s for s, f in found.items() if f and (f["structure"] or f["regimes"] or f["transitions"] or any(r["flagged"] for r in f["joint"]))]
+        if self.offered:
+            out.append("Shall I show the details?")
+        return "\n".join([*out, *self.behavioral_flags(sources)])
+
+    def anomaly_detail(self, message: str) -> str:
+        """The findings in full, of the sources just offered or else the present one."""
+        sources, self.offered = self.offered or ([self.source] if not self.all_sources(message) else list(self.frames)), []
+        return "\n".join(f"{s}: " + (anomaly.render_drift(f) if (f := self.drift_of(s)) else "there is no baseline.") for s in sources)
+
+    def labelled(self, source: str, name: str) -> str:
+        """A signal as people know it: its described meaning, or its name."""
+        return self.knowledge.fields(source).get(name, {}).get("description") or report.pretty(name)
+
+    def grounds(self, source: str, found: dict) -> dict:
+        """What an explanation may rest on: the findings with their signals' meanings and the facts known; nothing else."""
+        regimes = {p["label"]: p for p in found.get("profiles", [])}
+        return {
+            "source": source,
+            "rows": found["rows"],
+            "ties": [{"between": [self.labelled(source, c) for c in r["edge"].split("::")], "change": r["kind"], "from": round(r["base"], 2), "to": round(r["window"], 2), "in": r["scope"]} for r in found["structure"][:8]],
+            "regimes": [{"regime": r["label"], "change": r["kind"], "from": round(r["base_fraction"], 3), "to": round(r["window_fraction"], 3)} | ({"size": regimes[r["label"]]["size"]} if r["label"] in regimes else {}) for r in found["regimes"][:6]],
+            "transitions": [{"from": r["from_label"], "to": r["to_label"], "kind": r["kind"]} for r in found["transitions"][:6]],
+            "readings": [{"regime": r["label"], "share": r["fraction"], "led by": [self.labelled(source, t["signal"]) for t in r["top"][:2]]} for r in found["joint"] if r["flagged"]],
+            "known": self.knowledge.context(),
+        }
+
+    def explain_drift(self, message: str) -> str:
+        """What the departures may come from. A model gets the findings alone; without one they are told as they are, and no cause is named."""
+        import json
+
         out = []
-        for s in self.frames if self.all_sources(message) else [self.source]:
-            base = self.artifacts.load("baseline", s) if self.artifacts else None
-            out.append(f"{s}: " + (anomaly.render_drift(anomaly.detect_drift(self.frames[s], base)) if base else "there is no baseline yet; build one over days known to be good."))
-        if self.position_source():
-            r = trajectory.dwell_flags(trajectory.detect_stops(self.track())).first()
-            if r and r["flagged"]:
-                out.append(f"The present stop lasts {r['current_h']:.1f} h, {r['ratio']:.1f} times the usual ({r['confidence']} confidence).")
+        for s in list(self.frames) if self.all_sources(message) else [self.source]:
+            found = self.drift_of(s)
+            if found is None:
+                out.append(self.headline(s, None))
+                continue
+            grounds = self.grounds(s, found)
+            if self.provider.synthesizes:
+                out.append(self.provider.complete("Explain these departures to a reader of the kind: " + self.mode + ". Use nothing but what is given, and invent no numbers.", json.dumps(grounds, default=str)))
+                continue
+            lines = [f"- the tie between {' and '.join(t['between'])} {t['change']}" for t in grounds["ties"]] + [f"- regime {r['regime']}: {r['change'].replace('_', ' ')}" for r in grounds["regimes"]]
+            lines += [f"- readings in regime {r['regime']} are unusual together, led by {', '.join(r['led by'])}" for r in grounds["readings"]]
+            out.append("\n".join([f"{s}: this is what changed; what caused it the data don't say.", *(lines or ["- nothing"]), *(["Known:", grounds["known"]] if grounds["known"] else [])]))
         return "\n".join(out)
 
+    def behavioral_flags(self, sources: list[str]) -> list[str]:
+        """Sentences on present stops that last unusually long, the worst three entities of each source that has positions."""
+        out = []
+        for s in sources:
+            if not (where := self.places_of(s)):
+                continue
+            who = self.role(s, "identifier")
+            df = self.frames[s]
+            track = df.select(F.col("timestamp").cast("double").alias("t"), *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(where, ("lat", "lon"), strict=True)], (F.col(f"`{who}`").cast("string") if who else F.lit("")).alias("_who"))
+            flags = trajectory.dwell_flags(trajectory.detect_stops(track, "_who")).where("flagged").orderBy(F.desc("ratio"), "entity").limit(3).collect()
+            out += [f"{s}{' ' + r['entity'] if r['entity'] else ''}: the present stop lasts {r['current_h']:.1f} h, {r['ratio']:.1f} times the usual ({r['confidence']} confidence)." for r in flags]
+        return out
+
     def correction(self, message: str) -> str:
         return f"Noted: {self.knowledge.add('correction', message)['text']}"
 

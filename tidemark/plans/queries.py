@@ -394,18 +394,13 @@ def dependence_graph(spark, d):
     return D.build_graph(spark.read.parquet(f"{d}/lineitem.parquet"), LINE, with_mi=True)
 
 
-_DC = """WITH s AS (SELECT row_number() OVER (ORDER BY event_id) AS i, value AS x, event_id % 17 AS y FROM events WHERE event_id < 200),
+@query("""WITH s AS (SELECT s_suppkey AS i, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier),
 p AS (SELECT a.i AS i, b.i AS j, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM s a, s b),
 c AS (SELECT dx - avg(dx) OVER (PARTITION BY i) - avg(dx) OVER (PARTITION BY j) + avg(dx) OVER () AS a, dy - avg(dy) OVER (PARTITION BY i) - avg(dy) OVER (PARTITION BY j) + avg(dy) OVER () AS b FROM p)
-SELECT round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 4) AS dcor FROM c"""
-
-
-@query(_DC)
-def dcor_small(spark, d):
-    # an excerpt by event id, small enough for the twin's self-join; dcor_events is over all events
-    df = events(spark, d).where("event_id < 200").select(F.col("value").alias("x"), (F.col("event_id") % 17).cast("double").alias("y"))
-    data = D.sampled(df, ["x", "y"], 10_000)
-    return D.pairwise_dependence(spark, ["x", "y"], data).select("dcor")
+SELECT round(sqrt(avg(a * b) / sqrt(avg(a * a) * avg(b * b))), 4) AS dcor FROM c""")
+def dcor_suppliers(spark, d):
+    df = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_acctbal").cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return D.pairwise_dependence(spark, ["x", "y"], D.sampled(df, ["x", "y"], D.sample_cap(2))).select("dcor")
 
 
 @query()
@@ -534,11 +529,6 @@ def doc_search(spark, d):
     return layout.search(rows, QUESTION).select("doc", r6("score").alias("score"))
 
 
-@query()
-def doc_chunks(spark, d):
-    return layout.chunks(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text")
-
-
 @query(f"""{E}, s AS (SELECT source, t, CASE WHEN t - lag(t) OVER (PARTITION BY source ORDER BY t) < 1800 THEN 0 ELSE 1 END AS new FROM e),
 g AS (SELECT source, t, sum(new) OVER (PARTITION BY source ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s)
 SELECT source, round(min(t), 3) AS t_start, round(max(t), 3) AS t_end, count(*) AS n FROM g GROUP BY source, k""")
