@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
 
-1. quality: documents that the quality rules or their host's verdict reject go.
+1. quality: documents that fail the quality rules, as strictly as their host's record has them applied, go.
 2. simhash: of each near-duplicate class one document stays.
 3. decontaminate: benchmark passages are cut out; documents that are mostly such a passage go.
 4. pii: personal data is replaced by surrogates.
@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, packing, pii, quality, simhash
-from tidemark.llm.common import documents, short_batches, written
+from tidemark.llm.common import documents, forget, short_batches, written
 
 #: The surrogates' key; a real run sets its own.
 PII_KEY = os.environ.get("TIDEMARK_PII_KEY", "tidemark-surrogates")
@@ -51,9 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's result is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:  # what the stage read is written anew by now
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -423,3 +423,21 @@ def test_drift_over_days(spark, regimes):
     found = N.multiscale_drift(daily)
     assert found["periods"] == [f"2024-01-0{d}" for d in (1, 2, 3, 4)] and len(found["steps"]) == 3
     assert N.match_regimes([{"label": 0, "centroid": {"a": 1.0}}, {"label": 1, "centroid": {"a": 10.0}}], [{"label": 5, "centroid": {"a": 9.0}}, {"label": 6, "centroid": {"a": 500.0}}]) == {5: 1}
+
+
+def test_order_statistics_of_large_columns(spark):
+    import random
+
+    from tidemark.operators import quantiles
+
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) for _ in range(5001)], [float(rng.randrange(4)) for _ in range(4000)], [7.0] * 3000, [1.0] * 2900 + [rng.random() for _ in range(100)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+        order = sorted(values)
+        for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+            want = float(np.quantile(values, q))
+            assert quantiles.exact_quantile(df, "x", q, most=300) == (pytest.approx(want), len(values))
+            assert quantiles.exact_quantile(df, "x", q)[0] == pytest.approx(want)
+        assert quantiles.upper_median(df, "x", most=300) == (order[len(order) // 2], len(order))
+        assert tuple(S.upper_median(df, "x", most=300, n=len(values)).select("median", "n").first()) == tuple(S.upper_median(df, "x").select("median", "n").first())
+    assert quantiles.exact_quantile(spark.createDataFrame([], "x double"), "x", 0.5) == (None, 0)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidemark.functions.expr import integrated_unit, nearest_multiple, quoted
-from tidemark.operators.ordered import DAY, with_neighbour
+from tidemark.operators import quantiles
+from tidemark.operators.ordered import with_neighbour
 
 AGGREGATIONS = ("avg", "min", "max", "sum", "median", "stddev", "count", "integral")
 #: Intervals of the integral are longer than nothing and shorter than this.
@@ -46,6 +47,10 @@ def aggregate(df: DataFrame, signal: str, agg: str, unit: str = "", window: str
     if agg == "integral":
         return integral(df, signal, unit, window, time, t_range, by)
     rows = in_range(df, time, t_range).where(quoted(signal).isNotNull())
+    if agg == "median" and not by and rows.count() > quantiles.MOST:  # one group of all rows: its distinct values are not to meet in one task
+        value, n = quantiles.exact_quantile(rows.select(quoted(signal).alias("x")), "x", 0.5)
+        found = df.sparkSession.createDataFrame([(value, n)], "value double, n_rows long")
+        return _result(found, f"{agg}({signal})", signal, agg, unit, window, "", by)
     found = rows.groupBy(*(by or [])).agg(aggregation(agg, quoted(signal)).alias("value"), F.count(quoted(signal)).alias("n_rows"))
     return _result(found, f"{agg}({signal})", signal, agg, unit, window, "", by)
 
@@ -188,7 +193,3 @@ def clean_columns(df: DataFrame, columns: list[str], most_null: float = 0.5) ->
     kept = [c for i, c in enumerate(columns) if one["n"] and one[f"n{i}"] and 1 - one[f"n{i}"] / one["n"] <= most_null and one[f"s{i}"]]
     made = df.select(*[c for c in df.columns if c not in columns], *[x[c].alias(c) for c in kept])
     return kept, made.dropna(subset=kept) if kept else made.limit(0)
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-DEFAULT_STRETCH = DAY

@@ -231,11 +231,12 @@ def group_dates(dates: list[str], granularity: str = "month") -> dict[str, list[
 def daily_fingerprints(df: DataFrame, columns: list[str], model: dict, date: str = "date", granularity: str = "day", seed: int = 0) -> DataFrame:
     """date, scope, edge, dcor of each period and regime with enough rows: all periods in one plan, a group each.
 
-    A group's dependence is measured on at most the sample cap of its rows, chosen by a hash before the groups are formed."""
-    rows = discovery.assign_labels(df.dropna(subset=columns), model).select(period(F.col(date), granularity).alias("date"), "label", *[quoted(c).cast("double").alias(c) for c in columns])
+    A group's dependence is measured on at most the sample cap of its rows, chosen by a hash of the whole row before the groups are formed."""
+    known = df.dropna(subset=columns).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), *[quoted(c) for c in df.columns]), F.lit(1 << 20)) / float(1 << 20))
+    rows = discovery.assign_labels(known, model).select(period(F.col(date), granularity).alias("date"), "label", "_u", *[quoted(c).cast("double").alias(c) for c in columns])
     cap = sample_cap = discovery.sample_cap(len(columns))
     sizes = rows.groupBy("date", "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_ROWS)
-    rows = rows.join(sizes, ["date", "label"]).withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 20)) / float(1 << 20))
+    rows = rows.join(sizes, ["date", "label"])
     rows = rows.where(F.col("_u") * F.col("_n") < sample_cap).drop("_u", "_n")
 
     def measure(key, frame):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import geo_cell, haversine_km, magnitude
+from tidemark.operators import quantiles
 from tidemark.operators.aggregates import in_range
-from tidemark.operators.ordered import DAY, with_neighbour, with_running_sum
+from tidemark.operators.ordered import with_neighbour, with_running_sum
 from tidemark.operators.timejoin import asof, names_at, nearest_at, within_ranges
 
+#: Part of a segment within which its end counts as reached.
+BOUNDARY = 1e-9
+
 
 def fixes(df: DataFrame, lat: str, lon: str, time: str = "timestamp", t_range=None, by: list[str] | None = None) -> DataFrame:
     """(by,) t, lat, lon of rows that have all three."""
@@ -62,7 +66,8 @@ def voyage_window(df: DataFrame, start: tuple[float, float], end: tuple[float, f
 def distance_segments(df: DataFrame, lat: str, lon: str, segment_km: float, time: str = "timestamp", t_range=None) -> DataFrame:
     """The track cut every ``segment_km``: segment, km_start, km_end, t_start, t_end; the rest is the last one.
 
-    A hop that crosses several boundaries closes several segments, the later ones of no duration.
+    A hop that crosses several boundaries closes several segments, the later ones of no duration. A boundary counts as reached
+    within BOUNDARY of a segment, as sums of hops are not exact.
     Cumulative distance comes from sums by stretch of time, so no task walks the whole track."""
     spark = df.sparkSession
     if segment_km <= 0:
@@ -70,22 +75,24 @@ def distance_segments(df: DataFrame, lat: str, lon: str, segment_km: float, time
     track = fixes(df, lat, lon, time, t_range)
     rows = with_running_sum(hops(track), "t", F.col("hop"), "cum", tie=["lat", "lon"])
     seg = F.lit(float(segment_km))
-    rows = rows.withColumn("k0", F.floor((F.col("cum") - F.col("hop")) / seg)).withColumn("k1", F.floor(F.col("cum") / seg))
+    passed = lambda km: F.floor(km / seg + F.lit(BOUNDARY))
+    rows = rows.withColumn("k0", passed(F.col("cum") - F.col("hop"))).withColumn("k1", passed(F.col("cum")))
     closed = rows.where("k1 > k0").select(F.explode(F.expr("sequence(k0 + 1, k1)")).alias("segment"), F.col("t").alias("t_end"))
     closed = closed.groupBy("segment").agg(F.min("t_end").alias("t_end"))
     whole = rows.agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("cum").alias("km"), F.count("*").alias("n")).where("n >= 2")
-    tail = whole.where((F.col("km") - F.floor(F.col("km") / seg) * seg) > 1e-6).select((F.floor(F.col("km") / seg) + 1).alias("segment"), F.col("t1").alias("t_end"), F.col("km").alias("last"))
+    tail = whole.where((F.col("km") - passed(F.col("km")) * seg) > 1e-6).select((passed(F.col("km")) + 1).alias("segment"), F.col("t1").alias("t_end"), F.col("km").alias("last"))
     every = closed.withColumn("last", F.lit(None).cast("double")).unionByName(tail)
     before = closed.select((F.col("segment") + 1).alias("segment"), F.col("t_end").alias("t_start"))
     every = every.join(before, "segment", "left").join(F.broadcast(whole.select("t0")))  # one row
     return every.select(F.col("segment").cast("long").alias("segment"), F.round((F.col("segment") - 1) * seg, 3).alias("km_start"), F.round(F.coalesce("last", F.col("segment") * seg), 3).alias("km_end"), F.coalesce("t_start", "t0").alias("t_start"), "t_end")
 
 
-def upper_median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
-    """One row: the element at n // 2 (from 0) of the values in order, and their number ``n``."""
+def upper_median(df: DataFrame, value: str, out: str = "median", most: int = quantiles.MOST, n: int = 0) -> DataFrame:
+    """One row: the element at n // 2 (from 0) of the values in order, and their number ``n``. ``n``: rows at most; from ``most`` on no task holds them all."""
+    if n > most:
+        return df.sparkSession.createDataFrame([quantiles.upper_median(df, value, most)], f"{out} {dict(df.dtypes)[value]}, n long")
     x = F.col(value)
-    both = df.where(x.isNotNull()).agg(F.count(x).alias("n"), F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(out))
-    return both
+    return df.where(x.isNotNull()).agg(F.count(x).alias("n"), F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias(out))
 
 
 def coverage_gaps(df: DataFrame, time: str = "timestamp", t_range=None, position: DataFrame | None = None) -> DataFrame:
@@ -97,7 +104,7 @@ def coverage_gaps(df: DataFrame, time: str = "timestamp", t_range=None, position
     stamps = in_range(df, time, t_range).select(F.col(time).cast("double").alias("t")).where("t is not null")
     steps = with_neighbour(stamps, "t", ["t"])
     steps = steps.select(F.col("prev_t").alias("a"), F.col("t").alias("b"), (F.col("t") - F.col("prev_t")).alias("d"))
-    mid = upper_median(steps, "d", "median_dt").where("n >= 1").select("median_dt", F.greatest(F.col("median_dt") * 5, F.lit(60.0)).alias("threshold_s"))
+    mid = upper_median(steps, "d", "median_dt", n=df.count()).where("n >= 1").select("median_dt", F.greatest(F.col("median_dt") * 5, F.lit(60.0)).alias("threshold_s"))
     if t_range is None:
         ends = stamps.agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     else:
@@ -189,7 +196,3 @@ def place_label(lat: float, lon: float, name: str | None = None, km: float | Non
     if not name:
         return f"({spot})"
     return f"{name} ({spot}, ~{km:.0f} km away)" if km is not None and km > 1 else f"{name} ({spot})"
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-STRETCH, ROWS = DAY, Window

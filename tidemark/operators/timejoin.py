@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import quoted, tick
-from tidemark.operators.aggregates import numeric_columns, widest_columns
+from tidemark.operators.aggregates import widest_columns
 
 
 def first_per_tick(df: DataFrame, columns: list[str], hz: float = 10.0, time: str = "timestamp", tag: str = "") -> DataFrame:
@@ -96,6 +96,3 @@ def names_at(df: DataFrame, entity: str, name: str, at: float, time: str = "time
     rows = df.where(F.length(F.trim(F.col(name).cast("string"))) > 0)
     rank = F.when(F.col(time) <= at, F.lit(at) - F.col(time)).otherwise(F.col(time) - F.lit(at) + F.lit(1e12))
     return rows.groupBy(entity).agg(F.min_by(F.col(name).cast("string"), F.struct(rank, F.col(name).cast("string"))).alias("name"))
-
-
-__all__ = ["Window", "aggregate_ranges", "asof", "first_per_tick", "fuse", "integrate_ranges", "names_at", "nearest_at", "numeric_columns", "within_ranges"]

@@ -239,7 +239,7 @@ def voyage_window(spark, d):
 _SEG = f"""{E}, {_HOPS}, c AS (SELECT t, hop, sum(hop) OVER (ORDER BY t, lat, lon ROWS UNBOUNDED PRECEDING) AS cum FROM h),
 k AS (SELECT t, unnest(generate_series(CAST(floor((cum - hop) / 50 + 1e-9) AS BIGINT) + 1, CAST(floor(cum / 50 + 1e-9) AS BIGINT))) AS segment FROM c),
 b AS (SELECT segment, min(t) AS t_end FROM k GROUP BY segment), w AS (SELECT min(t) AS t0, max(t) AS t1, max(cum) AS km FROM c),
-a AS (SELECT segment, t_end, segment * 5e1 AS km_end FROM b UNION ALL SELECT CAST(floor(km / 50) AS BIGINT) + 1, t1, km FROM w WHERE km - floor(km / 50) * 50 > 1e-6),
+a AS (SELECT segment, t_end, segment * 5e1 AS km_end FROM b UNION ALL SELECT CAST(floor(km / 50 + 1e-9) AS BIGINT) + 1, t1, km FROM w WHERE km - floor(km / 50 + 1e-9) * 50 > 1e-6),
 segs AS (SELECT a.segment, round((a.segment - 1) * 5e1, 3) AS km_start, round(km_end, 3) AS km_end, coalesce(b.t_end, t0) AS t_start, a.t_end FROM a LEFT JOIN b ON b.segment = a.segment - 1, w)"""
 
 
