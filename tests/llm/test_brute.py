@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -50,6 +51,49 @@ def test_language_backs_off_to_shorter_grams():
     assert m.predict("12 - 3") == ("und", 0.0) and m.predict(None) == ("und", 0.0)
 
 
+def test_language_by_plain_counts(spark, small):
+    """The whole operator from dictionaries; the sample is all labelled rows here, as there are fewer than its bound."""
+    rows = rows_of(small, "doc_id", "text", "lang")
+    letters = lambda t: ["".join(x) for ok, x in itertools.groupby((t or "").lower(), str.isalpha) if ok]
+    grams = lambda w, n: [("_" + w + "_" if n > 1 else w)[i : i + n] for i in range(len(w) + 2 * (n > 1) - n + 1)]
+    counts = [collections.Counter() for _ in range(6)]
+    for d, t, k in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2 and t is not None and k is not None:
+            for w in letters(t):
+                counts[0][w, k] += 1
+                for n in range(1, 6):
+                    counts[n].update((g, k) for g in grams(w, n))
+    languages = sorted({k for (_, k) in counts[0]})
+    tables = []
+    for n, c in enumerate(counts):
+        sums = collections.Counter()
+        for (g, _), m in c.items():
+            sums[g] += m
+        kept = {g for g, m in sums.items() if m >= 2 or 1 <= n <= 4}
+        total = {k: sum(c[g, k] for g in kept) + 0.5 * (len(kept) + 1) for k in languages}
+        tables.append({g: [math.log((c[g, k] + 0.5) / total[k]) for k in languages] for g in kept})
+
+    def predict(t):
+        found = [0.0] * len(languages)
+        if not letters(t):
+            return "und", 0.0
+        for w in letters(t):
+            row = tables[0].get(w)
+            for n in range(min(5, len(w) + 2), 0, -1):
+                if row is not None:
+                    break
+                some = [tables[n][g] for g in grams(w, n) if g in tables[n]]
+                row = [sum(x) / len(some) for x in zip(*some, strict=True)] if some else None
+            found = [a + b for a, b in zip(found, row or [0.0] * len(languages), strict=True)]
+        best = max(range(len(languages)), key=lambda i: (found[i], -i))
+        return languages[best], 1 / sum(math.exp(x - found[best]) for x in found)
+
+    got = {r["doc_id"]: r for r in registry.op1_language(spark, SF).collect()}
+    for d, t, _ in rows:
+        want = predict(t)
+        assert got[d]["lang_pred"] == want[0] and got[d]["score"] == pytest.approx(want[1], abs=2e-3), d
+
+
 # --- 2
 
 def brute_spans(text):
@@ -233,6 +277,77 @@ def test_surrogates(spark):
     assert other[1] != out
 
 
+def test_surrogates_of_names(spark):
+    texts = [
+        "Mr. Pat O'Brien came. O'Brien left; O’Neil stayed.", "Mrs. Eve McDonald; McDonald stays, and MCDONALD too.", "Dr. Alan Turing, Turing's work. Mr. Alan Hopper.",
+        "Ms. Anna-Maria Weiß met Anna-Maria.", "Mr. SMITH said: SMITH, Smith, but a smith is no name.", "Mr. Smith's dog.", "Д-р Иванов и Иванов",
+    ]
+    out = [r["text"] for r in pii.protect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", "k").orderBy("doc_id").collect()]
+    for t, names in zip(out, (["O'Brien", "Pat"], ["McDonald", "MCDONALD", "Eve"], ["Turing", "Alan", "Hopper"], ["Anna", "Maria", "Weiß"], ["SMITH", "Smith"], ["Smith"], ["Иванов"]), strict=True):
+        assert not [n for n in names if n in t], t
+    assert "a smith is no name" in out[4] and "O’Neil stayed" in out[0]
+    m = re.fullmatch(r"Mr\. (\w+) said: (\w+), (\w+), but a smith is no name\.", out[4])
+    assert m[1] == m[2] == m[3].upper() and out[5] == f"Mr. {m[3]}'s dog."  # one person throughout the corpus, the possessive left alone
+    doctor, work, mister = re.fullmatch(r"Dr\. (\w+) \w+, (\w+)'s work\. Mr\. (\w+) \w+\.", out[2]).groups()
+    assert doctor == mister and work in out[2].split(",")[0]
+    assert re.fullmatch(r"Д-р ([Ѐ-ӿ]+) и \1", out[6])
+
+
+def test_more_entities_than_a_kind_has_replacements(spark):
+    entities = spark.createDataFrame([("phone", str(i)) for i in range(1000, 9800)], "kind string, norm string")  # 6,400 of four digits are there
+    got = {r["norm"]: r["surrogate"] for r in pii.assigned(entities, "k").collect()}
+    assert len(got) == 8800 == len(set(got.values())) and not set(got) & set(got.values())
+
+
+def test_surrogates_by_plain_python(spark, small):
+    """Entities found by patterns written anew; every text is its old self with each entity replaced, one to one over the corpus, format kept."""
+    octet = "(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
+    kinds = {
+        "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+        "ip": rf"(?<![0-9A-Za-z.])(?:{octet}\.){{3}}{octet}(?![0-9A-Za-z]|\.\d)",
+        "ssn": r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
+        "card": r"(?<![0-9A-Za-z+])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])",
+        "phone": r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])",
+    }
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    got = {r["doc_id"]: r for r in registry.op4_pii(spark, SF).collect()}
+    known, seen = {}, collections.Counter()
+    for d, t in rows_of(small, "doc_id", "text"):
+        if t is None or re.search(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme)\b", t):
+            continue
+        hits = []
+        for m in re.finditer("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()), t, re.ASCII):
+            digits = re.sub(r"\D", "", m[0])
+            if m.lastgroup != "card" or luhn(digits):
+                hits.append((m.lastgroup, m[0]))
+        if any(k == "card" and not luhn(re.sub(r"\D", "", m[0])) for k in ["card"] for m in re.finditer(kinds["card"], t)):
+            continue  # runs of digits that fail: test_cards_among_digits has them
+        gaps, at = [], 0
+        for _, x in hits:
+            i = t.index(x, at)
+            gaps.append(t[at:i])
+            at = i + len(x)
+        pattern = "".join(re.escape(g) + r"(\S(?:[^\n]{0,80}?\S)?)" for g in gaps) + re.escape(t[at:])
+        m = re.fullmatch(pattern, got[d]["text"])
+        assert m, d
+        assert got[d]["n_entities"] == len({(k, x.lower() if k == "email" else x if k == "ip" else re.sub(r"\D", "", x)[-10:] if k == "phone" else re.sub(r"\D", "", x)) for k, x in hits})
+        for (k, old), new in zip(hits, m.groups(), strict=True):
+            assert old != new
+            seen[k] += 1
+            if k == "email":
+                assert re.fullmatch(kinds["email"], new) and old.rsplit(".")[-1].lower() == new.rsplit(".")[-1].lower()
+            elif k == "ip":
+                assert re.fullmatch(rf"(?:{octet}\.){{3}}{octet}", new)
+            else:
+                assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new)
+            if k == "card":
+                assert luhn(re.sub(r"\D", "", new))
+            key = (k, old.lower() if k == "email" else old if k == "ip" else re.sub(r"\D", "", old)[-10:] if k == "phone" else re.sub(r"\D", "", old))
+            value = new if k in ("email", "ip") else re.sub(r"\D", "", new)[-10:] if k == "phone" else re.sub(r"\D", "", new)
+            assert known.setdefault(key, value) == value
+    assert len(set(known.values())) == len(known) and len(seen) >= 4 and not {v for _, v in known} & set(known.values())
+
+
 def test_surrogates_are_one_to_one(spark):
     entities = spark.createDataFrame([("phone", f"{i:07d}") for i in range(500)] + [("email", f"{c}@x.com") for c in "abcdefghij"] + [("last", f"n{i}") for i in range(300)], "kind string, norm string")
     got = pii.assigned(entities, "k").collect()
@@ -353,6 +468,15 @@ def test_packing_cuts_cost_least(lengths, seed):
     assert got[0] == 0 and got[-1] == ends[-1] and all(0 < b - a <= window for a, b in zip(got, got[1:], strict=False))
 
 
+def test_packing_one_id_with_most_rows(spark):
+    rows = [(7, f"word{i} again.") for i in range(3000)] + [(None, f"none {i}") for i in range(50)] + [(i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(df, "doc_id", "text", task_bytes=4000, run_tokens=2000)
+    assert got.where("start = 0").count() == len(rows)
+    per_task = collections.Counter(r["sequence_id"] >> 32 for r in got.collect() if r["doc_id"] == 7)
+    assert len(per_task) > 5 and max(per_task.values()) < 2000  # the id's rows are dealt over tasks
+
+
 PARTS = ["we", "'ll", "'re", " ", "  ", "\n", "\n\n", "\t", "don", "'t", "<|endoftext|>", "<|", "endo", "12", "é", "ß", "!", "'", " ", "日本", "\x1d", "the", " the", "ing", "\r\n", "İ", "<|startoftext|>", "é", "Σ", "ﬁ", "᠎", "​", "꟎"]
 
 
@@ -598,8 +722,8 @@ def test_brown_exchange_covers_words_below_the_first(spark):
     state = brown.Classes([w for w, _ in words_], [c for _, c in words_], 4)
     pairs = brown.class_pairs(state, brown.code_pairs(blocks, state))
     want = collections.Counter(w for t in texts for w in t.split())
-    for together in (20_000, 7):  # a word's rows may come in several parts
-        found = brown.tail_classes(brown.neighbours(blocks, state), state, pairs, together).collect()
+    for together, most in ((20_000, 65_535), (7, 3)):  # a word's rows may come in several parts, and so may a count
+        found = brown.tail_classes(brown.neighbours(blocks, state, most), state, pairs, together).collect()
         assert {r["word"]: r["c"] for r in found} == {w: c for w, c in want.items() if w.encode() not in dict(words_)}
         of = {r["word"]: r["k"] for r in found}
         by = [collections.Counter(of[w] for w in some if w in of) for some in kinds]

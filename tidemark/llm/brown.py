@@ -21,12 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_bytes, column_list, forget, lean, pick, swept, written
+from tidemark.llm.common import column_bytes, column_list, forget, lean, passing_shuffles, pick, written
 
 CLASSES, CLUSTERED, ROUNDS = 60, 2000, 20
 ADD, ADD_CLASS = 0.1, 0.1
 #: Bytes of text whose words are numbered together.
 BLOCK_BYTES = 8_000_000
+MOST_COUNT = (1 << 16) - 1
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -191,9 +192,10 @@ def code_pairs(blocks: DataFrame, state: Classes) -> np.ndarray:
     return sums.reshape(codes, codes)
 
 
-def neighbours(blocks: DataFrame, state: Classes) -> DataFrame:
-    """Per block and word of the tail: ``keys`` and ``ns``, how often which class stands behind it (key: the class) and before it
-    (key: ``total`` and the class), in training documents."""
+def neighbours(blocks: DataFrame, state: Classes, most: int = MOST_COUNT) -> DataFrame:
+    """Per block and word of the tail: ``beside``, how often which class stands behind it (key: the class) and before it
+    (key: ``total`` and the class), in training documents. It holds 16-bit numbers: a key, its count, a key, its count; a greater count is
+    several entries."""
     total, codes = state.total, len(state.of_code)
     sent = blocks.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(state.moved)}, state.of_code))
 
@@ -206,13 +208,20 @@ def neighbours(blocks: DataFrame, state: Classes) -> DataFrame:
                 k = of[c]
                 at = np.nonzero(c == codes - 2)[0]
                 keys, n = np.unique(np.concatenate([number[at] * (2 * total) + k[at + 1], number[at] * (2 * total) + total + k[at - 1]]), return_counts=True)
+                if len(n) and n.max() > most:
+                    times = -(-n // most)
+                    rest = n - (times - 1) * most
+                    keys, n = np.repeat(keys, times), np.full(times.sum(), most)
+                    n[np.cumsum(times) - 1] = rest
                 ids, starts = np.unique(keys // (2 * total), return_index=True)
+                entries = np.stack([keys % (2 * total), n], axis=1).astype("<u2")
                 for i in range(0, len(ids), 20_000):
                     some = np.append(starts, len(keys))[i : i + 20_001]
-                    lists = [pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(x[some[0] : some[-1]], t)) for x, t in ((keys % (2 * total), pa.int16()), (n, pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(ids[i : i + 20_000])), *lists], names=["word", "keys", "ns"])
+                    data = entries[some[0] : some[-1]].tobytes()
+                    beside = pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(((some - some[0]) * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(ids[i : i + 20_000])), beside], names=["word", "beside"])
 
-    return blocks.select("held", "lens", "codes", "words").mapInArrow(lean(run), "word string, keys array<smallint>, ns array<int>")
+    return blocks.select("held", "lens", "codes", "words").mapInArrow(lean(run), "word string, beside binary")
 
 
 def best_classes(row: np.ndarray, key: np.ndarray, n: np.ndarray, of: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -246,7 +255,7 @@ def best_classes(row: np.ndarray, key: np.ndarray, n: np.ndarray, of: np.ndarray
 
 
 def tail_classes(found: DataFrame, state: Classes, pairs: np.ndarray, together: int = 20_000) -> DataFrame:
-    """Per word of the tail: its count ``c`` and best class ``k``. ``found``: word, keys, ns, as by ``neighbours``.
+    """Per word of the tail: its count ``c`` and best class ``k``. ``found``: word, beside, as by ``neighbours``.
 
     Rows come sorted by word and are summed as they come: of one word, however many rows it has, only its sums are held."""
     total = state.total
@@ -276,12 +285,14 @@ def tail_classes(found: DataFrame, state: Classes, pairs: np.ndarray, together:
         last, last_cells, last_n = None, np.zeros(0, np.int64), np.zeros(0)
         for t in tables():
             words = t.column("word").combine_chunks()
-            keys, ns = (t.column(x).combine_chunks() for x in ("keys", "ns"))
-            lens = pc.list_value_length(keys).to_numpy().astype(np.int64)
+            beside = t.column("beside").combine_chunks()
+            cuts = np.frombuffer(beside.buffers()[1], np.int32)[beside.offset : beside.offset + len(beside) + 1].astype(np.int64) // 4
+            entries = np.frombuffer(beside.buffers()[2], "<u2").reshape(-1, 2)[cuts[0] : cuts[-1]].astype(np.int64)
+            lens = np.diff(cuts)
             first = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, bool)
             start = np.nonzero(first)[0]
             row = np.repeat(np.cumsum(first) - 1, lens)
-            cells, n = row * (2 * total) + keys.flatten().to_numpy().astype(np.int64), ns.flatten().to_numpy().astype(np.float64)
+            cells, n = row * (2 * total) + entries[:, 0], entries[:, 1].astype(np.float64)
             names = words.take(pa.array(start))
             if last is not None:
                 if last.as_py() == names[0].as_py():
@@ -387,7 +398,8 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     sums = blocks.select(F.explode(learned).alias("x")).agg(F.sum("x.d"), F.sum("x.n")).first()
     ends, n = int(sums[0] or 0), int(sums[1] or 0)
     lexicon = blocks.select("block", "ns", F.posexplode("words").alias("at", "word")).withColumn("n", F.get("ns", F.col("at")))
-    words = frequent(lexicon, clustered)
+    with passing_shuffles(spark):
+        words = frequent(lexicon, clustered)
     state = Classes([w for w, _ in words], [c for _, c in words], classes)
     counts = code_pairs(blocks, state)
     for _ in range(rounds):
@@ -396,7 +408,6 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     tail = tail_classes(neighbours(blocks, state), state, class_pairs(state, counts))
     first = spark.createDataFrame([(w.decode(), c, int(k)) for (w, c), k in zip(words, state.of_code, strict=False)], "word string, c long, k int")
     found = written(tail.unionByName(first), "classes")
-    swept(spark)
     size, kinds = np.zeros(state.total), np.zeros(state.total)
     for r in found.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         size[r["k"]], kinds[r["k"]] = r["c"], r["n"]
@@ -404,7 +415,6 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     kept = written(classed_documents(blocks, found, lexicon, state.total, n, v, ends), "classed-documents")
     forget(blocks)
     forget(found)
-    swept(spark)
     steps = log_steps(class_bigrams(kept.where(~F.col("held_out")), state.total), size, kinds)
     return _scored(kept, steps, n)
 

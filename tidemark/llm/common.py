@@ -90,11 +90,30 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions in here drop their shuffles' files as they end, and not whenever the driver collects garbage. (An action that fails for want of them runs its stages again.)"""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """The table, written to the shared folder and read again: lineage ends here and lost executors cost no rerun."""
+    """The table, written to the shared folder and read again: lineage ends here and lost executors cost no rerun. What it was shuffled
+    through is deleted."""
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with passing_shuffles(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,11 +124,6 @@ def forget(table: DataFrame) -> None:
         folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffles of what is written by now: a pass over the texts is as much as the input."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def by_salt(left: DataFrame, right: DataFrame, on: list[str], salt: list[str], salts: int = 64) -> DataFrame:
     """Inner join with a table that has each key once, when a key may have any share of the left rows.
 
