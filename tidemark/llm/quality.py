@@ -19,10 +19,10 @@ SYMBOLS = "#*$%&|<>"
 BASE_RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_words"}
 FURTHER_RULES = {
     "symbols": "10 * n_symbols > n_words",
-    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "lines": "n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines",  # one of three lines again says little
     "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
 }
-RULES = BASE_RULES | FURTHER_RULES
+RULES = {rule: f"({test})" for rule, test in (BASE_RULES | FURTHER_RULES).items()}
 #: Hosts up to so many rows are broadcast for the join; beyond, the join is shuffled and salted.
 BROADCAST_HOSTS, SALTS = 100_000, 32
 
@@ -128,7 +128,10 @@ def judge(docs: DataFrame, doc_id: str, text: str, host: str, reject: float = 0.
 
 
 def keep_good(docs: DataFrame, text: str, host: str, reject: float = 0.9, lenient: float = 0.5) -> DataFrame:
-    """The documents that ``judge`` keeps, all their columns with them."""
+    """The documents that ``judge`` keeps, all their columns with them.
+
+    Null and empty texts go, as they fail the base rules. Rows with a null host are judged strictly; a rate at a limit is within it. Of
+    repeated rows all are kept or none. An empty table gives an empty one."""
     table = Carried(docs)
     rows = measured(table.frame, table.at(text), "_m_")
     for rule, test in RULES.items():
