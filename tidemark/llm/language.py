@@ -2,7 +2,7 @@
 
 A word the model knows is scored by its log frequency in each language. An unseen word backs off to character
 n-grams, from ``MOST`` characters down: the first length at which any of its n-grams is known scores it, by the mean of
-their log frequencies. A text's language has the greatest sum over its words."""
+their log frequencies. A text's language has the greatest sum over its words; of languages that tie, the first by name."""
 
 from __future__ import annotations
 
@@ -152,8 +152,8 @@ def train(labelled: DataFrame, text: str, language: str, rows: int = TRAIN_ROWS,
 def predict(docs: DataFrame, doc_id: str, text: str, model: Model, also: dict[str, Column] | None = None) -> DataFrame:
     """Per row: doc_id, further columns ``also``, lang_pred and score (the posterior of lang_pred among the learned languages).
 
-    Null texts and those without a letter are 'und' with score 0; so is all if nothing was learned.
-    Repeated rows stay repeated."""
+    Null texts and those without a letter are 'und' with score 0; so is all if nothing was learned. Of languages that tie, the first by name
+    is taken. Repeated rows stay repeated, with the same answer. An empty table gives an empty one."""
     import pyarrow as pa
 
     also = also or {}

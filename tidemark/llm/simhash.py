@@ -357,7 +357,7 @@ def like_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarit
     return trees.links()
 
 
-def alike(suspects: DataFrame, similarity: float, most: int = 512, most_shingles: int = 1 << 22) -> DataFrame:
+def alike(suspects: DataFrame, similarity: float, most: int = 256, most_shingles: int = 1 << 22) -> DataFrame:
     """Links ``a``, ``b`` that connect what has that Jaccard similarity or more within a group. ``suspects``: root, s, h (the shingles' hashes).
 
     A group above a block is dealt into blocks by a hash, and each pair of blocks is a task: whole, and never more than two blocks in memory."""

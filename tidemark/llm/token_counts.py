@@ -61,7 +61,7 @@ def count(docs: DataFrame, doc_id: str, text: str, limit: int = 1024, path: str
     """Per row: doc_id, n_bytes, n_tokens, over_limit, and fitting_chars: the longest prefix (code points) of at most ``limit`` tokens.
 
     All come from prefix counts: a text's from those of its pretokens, which are worked out once and kept, up to
-    a bound. A null text counts as an empty one. Repeated rows stay repeated."""
+    a bound. A null text counts as an empty one. Repeated rows stay repeated. An empty table gives an empty one."""
     import pyarrow as pa
 
     where = path or default_path()
