@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import geo_cell, haversine_km, magnitude
 from tidemark.operators import quantiles
-from tidemark.operators.aggregates import in_range
+from tidemark.operators.aggregates import in_range, integral
 from tidemark.operators.ordered import with_neighbour, with_running_sum
 from tidemark.operators.timejoin import asof, names_at, nearest_at, within_ranges
 
@@ -39,6 +39,13 @@ def current_position(df: DataFrame, lat: str, lon: str, time: str = "timestamp",
     return last.where("p is not null").select(*(by or []), "p.*")
 
 
+def efficiency(readings: DataFrame, track: DataFrame, signal: str, lat: str, lon: str, per_km: float = 1.0, unit: str = "", time: str = "timestamp") -> DataFrame:
+    """One row: the integral of a rate (``total``, ``unit``), the track's distance_km, and the total per so many km; null without movement."""
+    total = integral(readings, signal, unit, time=time).select(F.col("value").alias("total"), "unit")
+    both = total.join(F.broadcast(track_distance(track, lat, lon, time)))  # one row each
+    return both.withColumn("efficiency", F.when(F.col("distance_km") > 1e-9, F.col("total") / F.col("distance_km") * F.lit(float(per_km))))
+
+
 def closest_approach(track: DataFrame, lat: float, lon: float, after: Column | None = None) -> DataFrame:
     """The fix nearest to a point (at or after a time): t, lat, lon, distance_km of two places. Of equals the earliest."""
     rows = track if after is None else track.where(F.col("t") >= after)

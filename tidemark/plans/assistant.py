@@ -299,9 +299,9 @@ class Assistant:
     def efficiency(self, message: str) -> str:
         source, signal = self.signal_in(message)
         per = 20.0 if "20" in message else 1.0
-        total = aggregates.integral(self.frames[source], signal, self.knowledge.fields(source).get(signal, {}).get("unit", "")).first()
-        km = spatial.track_distance(self.track(), "lat", "lon", "t").first()[0]
-        return f"{total['value'] / km * per:.4g} {total['unit']} of {signal} per {per:g} km" if total["value"] is not None and km > 1e-9 else "There is too little movement to say."
+        track = self.track().withColumnRenamed("t", "timestamp")
+        r = spatial.efficiency(self.frames[source], track, signal, "lat", "lon", per, self.knowledge.fields(source).get(signal, {}).get("unit", "")).first()
+        return f"{r['efficiency']:.4g} {r['unit']} of {signal} per {per:g} km" if r["efficiency"] is not None else "There is too little movement to say."
 
     def geo(self, message: str) -> str:
         source, signal = self.signal_in(message)

@@ -9,8 +9,9 @@ from tidemark.operators import aggregates as A
 from tidemark.operators import anomaly as N
 from tidemark.operators import discovery as D
 from tidemark.operators import spatial as S
+from tidemark.operators import timejoin as J
 from tidemark.operators import trajectory as T
-from tidemark.plans.queries import _DAY, _LAB, AT, CENTRES, E, daily, events, hav, query, r6
+from tidemark.plans.queries import _DAY, _HOPS, _LAB, _STOPS, AT, CENTRES, E, daily, events, hav, query, r6
 from tidemark.sources import layout
 from tidemark.sources.scratch import scratch
 
@@ -96,6 +97,18 @@ def voyage_norms(spark, d):
     return T.voyage_norms(legs, "entity", "at").select("entity", r6("rate", 4).alias("rate"), r6("median", 4).alias("median"), r6("p90", 4).alias("p90"), "n", "verdict")
 
 
+@query(f"""{_STOPS}, {_HOPS}, p AS (SELECT t1 AS a, lead(t0) OVER (ORDER BY t0) AS b FROM stops),
+l AS (SELECT a, b, sum(hop) AS km FROM p JOIN h ON h.t BETWEEN a AND b AND h.pt >= a WHERE b > a GROUP BY a, b),
+k AS (SELECT row_number() OVER (ORDER BY a) AS leg, round(a, 6) AS t_start, a, b FROM l WHERE km > 1),
+x AS (SELECT *, lag(t) OVER w2 AS xpt, lag(value) OVER w2 AS pv FROM e WINDOW w2 AS (ORDER BY t, value)),
+iv AS (SELECT xpt AS i0, t AS i1, (value + pv) / 2 * (t - xpt) / 3600 AS area FROM x WHERE t - xpt > 0 AND t - xpt < 3600)
+SELECT leg, t_start, round(sum(area), 6) AS value, count(area) AS n_rows FROM k LEFT JOIN iv ON i1 BETWEEN a AND b AND i0 >= a GROUP BY leg, t_start""")
+def leg_totals(spark, d):
+    ev = events(spark, d)
+    legs = T.detect_legs(ev.select("t", "lat", "lon")).select("leg", "t_start", "t_end")
+    return J.integrate_ranges(legs, ev, "leg", "value", "t").select("leg", r6("t_start").alias("t_start"), r6("value").alias("value"), "n_rows")
+
+
 @query("""WITH m AS (SELECT avg(l_quantity) AS a, avg(l_discount) AS b, var_samp(l_quantity) AS va, var_samp(l_discount) AS vb, covar_samp(l_quantity, l_discount) AS c FROM lineitem),
 k AS (SELECT a, b, va * 1.001 AS p, vb * 1.001 AS q, c FROM m),
 d AS (SELECT l_orderkey, l_linenumber, l_quantity - a AS x, l_discount - b AS y, (q * pow(l_quantity - a, 2) - 2 * c * (l_quantity - a) * (l_discount - b) + p * pow(l_discount - b, 2)) AS s, p, q, c FROM lineitem, k)

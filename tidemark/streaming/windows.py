@@ -73,13 +73,11 @@ def stops(df: DataFrame, entity: str, move_km: float = 1.0, least_s: float = 180
             state.remove()
             yield pd.DataFrame(out, columns=columns)
             return
-        found, behind = [], 0
-        for f in frames:
-            f = f.sort_values("t")
-            if scan.anchor:
-                behind += int((f["t"] < scan.last).sum())
-                f = f[f["t"] >= scan.last]
-            found += scan.feed(f["t"].to_numpy(), f["lat"].to_numpy(), f["lon"].to_numpy())
+        f, behind = pd.concat(list(frames)).sort_values("t"), 0  # what one entity sent in one batch
+        if scan.anchor:
+            behind = int((f["t"] < scan.last).sum())
+            f = f[f["t"] >= scan.last]
+        found = list(scan.feed(f["t"].to_numpy(), f["lat"].to_numpy(), f["lon"].to_numpy()))
         if scan.anchor:
             state.update((*scan.anchor, scan.last))
             state.setTimeoutTimestamp(max(int(scan.last * 1000) + wait, state.getCurrentWatermarkMs() + 1))
