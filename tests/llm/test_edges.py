@@ -44,7 +44,7 @@ def test_odd_rows(odd, benchmark, name):
         assert one[1]["text"] is None and one[2]["text"] == "" and one[9]["text"] == "x" * 100_000
     elif name == "quality":
         assert one[1]["base_failed"] and one[2]["n_words"] == 0 and one[8]["n_repeat_words"] == 30_000 and not one[8]["kept"]
-        assert one[2]["host_verdict"] == "ok" and not one[2]["kept"]
+        assert one[2]["host_verdict"] == "strict" and not one[2]["kept"]
     elif name == "sharding":
         counts = collections.Counter(r["shard"] for r in got)
         assert max(counts.values()) - min(counts.values()) <= 1 and one[1]["size"] == 1 and one[1]["text_crc32"] == 0
