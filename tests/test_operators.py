@@ -246,6 +246,21 @@ def test_scan_is_the_same_in_pieces():
     assert a == b and a
 
 
+def test_scan_where_each_fix_is_far():
+    n = 20_000
+    t, lat, lon = np.arange(float(n)), np.arange(n) % 20 * 0.05, np.zeros(n)
+    looked, scan, real = [0], T.StopScan(1.0, 1800.0), T.km_from
+    try:
+        T.km_from = lambda a, b, lats, lons: (looked.append(len(lats)), real(a, b, lats, lons))[1]
+        assert [*scan.feed(t, lat, lon), *scan.finish()] == []
+        lat[5000:9000] = 7.0  # a stop among them
+        scan = T.StopScan(1.0, 1800.0)
+        assert [*scan.feed(t, lat, lon), *scan.finish()] == [(5000.0, 8999.0, 7.0, 0.0, 3999.0, False)]
+    finally:
+        T.km_from = real
+    assert sum(looked) < 5 * n  # distances taken, of n * n / 2 by pairs
+
+
 def test_legs_and_norms(spark):
     rows, t = [], 0.0
     for stop in range(5):

@@ -333,3 +333,20 @@ def test_queries_against_sql(spark):
         assert columns == sorted(sql.columns), name
         assert plain(tuple(r) for r in df.select(*columns).collect()) == plain(sql.select(", ".join(f'"{x}"' for x in columns)).fetchall()), name
     assert F is not None
+
+
+@pytest.mark.parametrize("stops", [0, 1, 2, 3])
+def test_dwell_flag_has_a_row_for_few_stops(spark, tmp_path, stops):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans.queries import ORACLES, QUERIES
+
+    rows = [(50 * i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(5)]  # each elsewhere
+    rows += [(50 * (5 + k) + j, dt.datetime(2024, 1, 2 + k) + dt.timedelta(minutes=(20 + k) * j)) for k in range(stops) for j in range(3)]
+    c = duckdb.connect()
+    c.sql("SET TimeZone = 'UTC'")
+    c.sql("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    c.executemany("INSERT INTO events VALUES (?, ?, 1, 'click', 1.0, NULL)", rows)
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df, want = QUERIES["dwell_flag"](spark, str(tmp_path)), c.sql(ORACLES["dwell_flag"])
+    assert df.columns == want.columns
+    assert [tuple(r) for r in df.collect()] == want.fetchall()

@@ -14,8 +14,8 @@ from tidemark.operators.timejoin import within_ranges
 STOPS = "entity string, t_start double, t_end double, lat double, lon double, duration_s double, ongoing boolean"
 
 
-def km_from(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
-    """Great-circle distances from a point."""
+def km_from(lat: float | np.ndarray, lon: float | np.ndarray, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Great-circle distances from a point, or from one each."""
     p, q = np.radians(lats), np.radians(lat)
     h = np.sin((p - q) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lons - lon) / 2) ** 2
     return 2 * 6371.0 * np.arcsin(np.minimum(1.0, np.sqrt(h)))
@@ -30,22 +30,39 @@ class StopScan:
         self.last = 0.0
 
     def feed(self, t: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> Iterator[tuple[float, float, float, float, float, bool]]:
-        i = 0
-        while i < len(t):
+        i, at, n = 0, -1, len(t)  # the next fix, and the anchor's place among these
+        stays = np.nonzero(~(km_from(lat[:-1], lon[:-1], lat[1:], lon[1:]) > self.move_km))[0]
+        while i < n:
             if self.anchor is None:
-                self.anchor, self.last = (float(t[i]), float(lat[i]), float(lon[i])), float(t[i])
+                at = self._anchored(t, lat, lon, i)
                 i += 1
                 continue
-            far = np.nonzero(km_from(self.anchor[1], self.anchor[2], lat[i:], lon[i:]) > self.move_km)[0]
-            leave = i + int(far[0]) if len(far) else len(t)
+            if at >= 0 and at == i - 1 and self.least_s > 0:  # anchors that the very next fix leaves are no stops
+                k = int(np.searchsorted(stays, at))
+                stay = int(stays[k]) if k < len(stays) else n - 1
+                if stay > at:
+                    at = self._anchored(t, lat, lon, stay)
+                    i = stay + 1
+                    continue
+            leave, width = i, 16  # looks ahead by as much again each time: work follows the length of the stay
+            while leave < n:
+                far = np.nonzero(km_from(self.anchor[1], self.anchor[2], lat[leave : leave + width], lon[leave : leave + width]) > self.move_km)[0]
+                if len(far):
+                    leave += int(far[0])
+                    break
+                leave, width = min(n, leave + width), 2 * width
             if leave > i:
                 self.last = float(t[leave - 1])
-            if leave == len(t):
+            if leave == n:
                 return
             yield from self._closed(False)
-            self.anchor, self.last = (float(t[leave]), float(lat[leave]), float(lon[leave])), float(t[leave])
+            at = self._anchored(t, lat, lon, leave)
             i = leave + 1
 
+    def _anchored(self, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, i: int) -> int:
+        self.anchor, self.last = (float(t[i]), float(lat[i]), float(lon[i])), float(t[i])
+        return i
+
     def _closed(self, ongoing: bool):
         t0, lat, lon = self.anchor
         if self.last - t0 >= self.least_s:
@@ -112,18 +129,18 @@ def detect_legs(track: DataFrame, entity: str | None = None, places: list[dict]
     return kept.select("entity", leg.alias("leg"), "t_start", "t_end", F.round((F.col("t_end") - F.col("t_start")) / 3600, 2).alias("duration_h"), F.round("km", 1).alias("km"), "from_place", "to_place")
 
 
-def dwell_norm(stops: DataFrame) -> DataFrame:
-    """Per entity, over all stops but the last: n, median_h, p90_h, max_h, and the last one's current_h; entities with under three stops are left out."""
+def dwell_norm(stops: DataFrame, least: int = 3) -> DataFrame:
+    """Per entity, over all stops but the last: n, median_h, p90_h, max_h, and the last one's current_h; entities with under ``least`` stops are left out."""
     last = F.row_number().over(Window.partitionBy("entity").orderBy(F.col("t_start").desc()))
     rows = stops.withColumn("_r", last).withColumn("h", F.col("duration_s") / 3600)
     past = F.when(F.col("_r") > 1, F.col("h"))
     found = rows.groupBy("entity").agg(F.count("*").alias("stops"), F.count(past).alias("n"), F.median(past).alias("median_h"), F.percentile(past, 0.9).alias("p90_h"), F.max(past).alias("max_h"), F.max(F.when(F.col("_r") == 1, F.col("h"))).alias("current_h"))
-    return found.where("stops >= 3").drop("stops")
+    return found.where(F.col("stops") >= least).drop("stops")
 
 
-def dwell_flags(stops: DataFrame) -> DataFrame:
+def dwell_flags(stops: DataFrame, least: int = 3) -> DataFrame:
     """``dwell_norm`` with ``flagged`` (the last stop is over p90 and 1.5 medians), ``ratio`` to the median, ``confidence`` (high from 10 stops, medium from 5)."""
-    rows = dwell_norm(stops)
+    rows = dwell_norm(stops, least)
     return rows.withColumn("ratio", F.try_divide("current_h", "median_h")).withColumn("flagged", (F.col("current_h") > F.col("p90_h")) & (F.col("current_h") >= 1.5 * F.col("median_h"))).withColumn("confidence", F.when(F.col("n") >= 10, "high").when(F.col("n") >= 5, "medium").otherwise("low"))
 
 
