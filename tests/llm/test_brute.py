@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import brown, bytepairs, decontaminate, language, packing, pii, quality, registry, secrets, sharding, simhash, token_counts
+from tidemark.llm import brown, bytepairs, common, decontaminate, language, packing, pii, quality, registry, secrets, sharding, simhash, token_counts
 from tidemark.llm.common import fold, written
 from tidemark.llm.components import components
 
@@ -812,3 +813,21 @@ def test_brown_scores_by_plain_counts(spark, small):
     for k in (0, 3, None):  # all words, the unseen one and the end sum to one
         assert sum(step(k, w) for w in of) + step(k, b"\xff no such word") + step(k, None) == pytest.approx(1)
 
+
+
+def test_brown_blocks_come_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} " * 4000, False) for i in range(12)], "doc_id long, text string, held_out boolean").coalesce(1)
+    blocks, before, seen = brown.coded(docs, 10_000), spark.conf.get(common.BATCH_BYTES), []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with common.batches_within(spark, 1000):
+        assert [r["n"] for r in blocks.coalesce(1).mapInArrow(sizes, "n long").collect()] == [1] * 12
+    assert spark.conf.get(common.BATCH_BYTES) == before
+    real = {name: getattr(brown, name) for name in ("code_pairs", "written", "class_bigrams")}
+    for name, f in real.items():
+        monkeypatch.setattr(brown, name, lambda *a, f=f, **k: (seen.append(spark.conf.get(common.BATCH_BYTES)), f(*a, **k))[1])
+    brown.scores(docs, "doc_id", "text", F.lit(False), classes=2, clustered=3, rounds=1).collect()
+    assert len(seen) >= 5 and set(seen) == {str(brown.BATCH_BYTES)} and spark.conf.get(common.BATCH_BYTES) == before

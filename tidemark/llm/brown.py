@@ -21,13 +21,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column_bytes, column_list, forget, lean, passing_shuffles, pick, written
+from tidemark.llm.common import batches_within, column_bytes, column_list, forget, lean, passing_shuffles, pick, written
 
 CLASSES, CLUSTERED, ROUNDS = 60, 2000, 20
 ADD, ADD_CLASS = 0.1, 0.1
 #: Bytes of text whose words are numbered together.
 BLOCK_BYTES = 8_000_000
 MOST_COUNT = (1 << 16) - 1
+#: A batch for Python ends here: blocks come one by one, and not all of a file's at once in each of several copies.
+BATCH_BYTES = 1_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -392,7 +394,14 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     Words of equal counts are taken by their bytes; of classes of equal gain the first is. Repeated rows stay
     repeated, with the same scores. An empty table gives an empty one."""
     plain = pick(docs, doc_id, text).toDF("doc_id", "text").withColumn("held_out", held_out)
-    spark = docs.sparkSession
+    with batches_within(docs.sparkSession, BATCH_BYTES):
+        kept, steps, n = _learned(plain, classes, clustered, rounds, block_bytes)
+    return _scored(kept, steps, n)
+
+
+def _learned(plain: DataFrame, classes: int, clustered: int, rounds: int, block_bytes: int) -> tuple[DataFrame, np.ndarray, int]:
+    """The documents by their classes, written; the class model's steps; how many tokens it learned from."""
+    spark = plain.sparkSession
     blocks = coded(plain, block_bytes)
     learned = F.zip_with("held", "lens", lambda h, n: F.when(h, F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("n"))).otherwise(F.struct(F.lit(1).alias("d"), (n + 1).cast("long").alias("n"))))
     sums = blocks.select(F.explode(learned).alias("x")).agg(F.sum("x.d"), F.sum("x.n")).first()
@@ -416,7 +425,7 @@ def scores(docs: DataFrame, doc_id: str, text: str, held_out: Column, classes: i
     forget(blocks)
     forget(found)
     steps = log_steps(class_bigrams(kept.where(~F.col("held_out")), state.total), size, kinds)
-    return _scored(kept, steps, n)
+    return kept, steps, n
 
 
 def _scored(kept: DataFrame, steps: np.ndarray, n: int) -> DataFrame:
