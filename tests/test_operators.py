@@ -368,6 +368,14 @@ def test_regimes(spark, regimes):
     assert runs == 12
 
 
+def test_labels_are_made_once(spark, regimes, monkeypatch):
+    seen, real = {}, D.build_graph
+    monkeypatch.setattr(D, "build_graph", lambda df, columns, scope="global", *a: (seen.setdefault(scope, df), real(df, columns, scope, *a))[1])
+    D.regime_graphs(regimes, ["a", "b", "c"])
+    plans = {k: x._jdf.queryExecution().optimizedPlan().toString() for k, x in seen.items()}
+    assert len(plans) >= 3 and not any("array_position" in x for x in plans.values())
+
+
 def test_baseline_against_itself(spark, regimes):
     base = N.build_baseline(regimes, ["a", "b", "c", "counter"])
     found = N.detect_drift(regimes, base)
